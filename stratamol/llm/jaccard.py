@@ -27,7 +27,7 @@ from .components import connected_components
 #: Sets of a block above which it is split, and of each chunk.
 BLOCK, CHUNK = 4096, 2048
 #: Shingle occurrences for each hash partition.
-PER_PART = 2_500_000
+PER_PART = 4_000_000
 #: Occurrences that a task packs before it sends them.
 PACK = 4_000_000
 
@@ -66,16 +66,18 @@ def set_table(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, key long")
 
 
-_PACK = "part int, keys binary, ns binary, counts binary, low binary, high binary, df binary"
+_PACK = "part int, keys binary, counts binary, low binary, high binary, df binary"
 
 
-def _rows(part, keys, ns, counts, tok, df=None):
-    return [int(part), keys.astype(np.int64).tobytes(), ns.astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), (tok & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (tok >> np.uint64(32)).astype(np.uint8).tobytes(), b"" if df is None else df.astype(np.uint8).tobytes()]
+def _rows(part, keys, counts, tok, df=None):
+    """A packed row: 8 bytes for each set, 2 for its count here (4 where one is larger), 5 for each shingle."""
+    wide = np.uint32 if counts.max(initial=0) > 65535 else np.uint16
+    return [int(part), keys.astype(np.int64).tobytes(), counts.astype(wide).tobytes(), (tok & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (tok >> np.uint64(32)).astype(np.uint8).tobytes(), b"" if df is None else df.astype(np.uint8).tobytes()]
 
 
 def _batch(rows):
-    names = ["part", "keys", "ns", "counts", "low", "high", "df"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(7)], names)
+    names = ["part", "keys", "counts", "low", "high", "df"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(6)], names)
 
 
 def _unpack(table: pa.Table):
@@ -83,16 +85,17 @@ def _unpack(table: pa.Table):
         return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
 
     tok = joined("low", np.uint32).astype(np.uint64) | (joined("high", np.uint8).astype(np.uint64) << np.uint64(32))
-    return joined("keys", np.int64), joined("ns", np.uint32), joined("counts", np.uint32), tok, joined("df", np.uint8)
+    counts = [np.frombuffer(c.as_py(), np.uint16 if 4 * len(c.as_py()) == len(k.as_py()) else np.uint32).astype(np.int64) for k, c in zip(table.column("keys"), table.column("counts"), strict=True)]
+    return joined("keys", np.int64), np.concatenate([np.zeros(0, np.int64), *counts]), tok, joined("df", np.uint8)
 
 
-def _once(keys, ns, counts, tok):
+def _once(keys, counts, tok):
     """Each key's first entry only: copies bring the same shingles."""
     _, first = np.unique(keys, return_index=True)
     keep = np.zeros(len(keys), bool)
     keep[first] = True
     tok = tok[np.repeat(keep, counts)]
-    return keys[keep], ns[keep], counts[keep], tok
+    return keys[keep], counts[keep], tok
 
 
 def _dealt(docs, k, parts, id_col, text_col):
@@ -115,7 +118,7 @@ def _dealt(docs, k, parts, id_col, text_col):
                 a, b = edges[p], edges[p + 1]
                 if b > a:
                     which, counts = np.unique(row[a:b], return_counts=True)
-                    yield _batch([_rows(p, keys[which], ns[which], counts, tok[a:b])])
+                    yield _batch([_rows(p, keys[which], counts, tok[a:b])])
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
@@ -136,13 +139,13 @@ def _shared(parts: int, buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         p = table.column("part")[0].as_py()
-        keys, ns, counts, tok = _once(*_unpack(table)[:4])
+        keys, counts, tok = _once(*_unpack(table)[:3])
         _, inverse, df = np.unique(tok, return_inverse=True, return_counts=True)
         df = df[inverse]
         keep = df >= 2
         row = np.repeat(np.arange(len(keys)), counts)[keep]
         tok, df = tok[keep], np.minimum(df[keep], 255)
-        bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[row]
+        bucket = (keys % buckets).astype(np.int32)[row]
         order = np.argsort(bucket, kind="stable")
         row, tok, df, bucket = row[order], tok[order], df[order], bucket[order]
         edges, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
@@ -150,7 +153,7 @@ def _shared(parts: int, buckets: int):
             a, b = edges[q], edges[q + 1]
             if b > a:
                 which, n = np.unique(row[a:b], return_counts=True)
-                rows.append(_rows(p * buckets + q, keys[which], ns[which], n, tok[a:b], df[a:b]))
+                rows.append(_rows(p * buckets + q, keys[which], n, tok[a:b], df[a:b]))
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -162,16 +165,16 @@ _SETS = "key long, n long, tokens binary, prefix int"
 def _candidates(buckets: int, percent: int):
     """In one bucket of sets: those whose shared shingles can reach the least overlap, rarest first."""
 
-    def run(table: pa.Table) -> pa.Table:
-        keys, ns, counts, tok, df = _unpack(table)
+    def run(table: pa.Table, sizes_of: pa.Table) -> pa.Table:
+        keys, counts, tok, df = _unpack(table)
         part = np.array([p // buckets for p in table.column("part").to_pylist()], np.uint64)
-        sizes = [len(x.as_py()) // 4 for x in table.column("low")]
+        sizes = np.array([len(x.as_py()) // 4 for x in table.column("low")], np.int64)
         tok = tok | (np.repeat(part, sizes) << np.uint64(40))
         row = np.repeat(keys, counts)
         order = np.lexsort((tok, df, row))
         row, tok = row[order], tok[order]
         uniq, first = np.unique(row, return_index=True)
-        n_of = dict(zip(keys.tolist(), ns.tolist(), strict=True))
+        n_of = dict(zip(sizes_of.column("key").to_pylist(), sizes_of.column("n_shingles").to_pylist(), strict=True))
         ends = np.append(first[1:], len(row))
         out = []
         for key, a, b in zip(uniq.tolist(), first.tolist(), ends.tolist(), strict=True):
@@ -312,7 +315,9 @@ def key_components(docs: DataFrame, sets: DataFrame, k: int = 4, percent: int =
     parts = buckets = max(8, -(-total // PER_PART))
     dealt = _dealt(docs, k, parts, id_col, text_col)
     shared = dealt.groupBy("part").applyInArrow(_shared(parts, buckets), _PACK)
-    found = shared.withColumn("bucket", F.col("part") % buckets).groupBy("bucket").applyInArrow(lambda t: _candidates(buckets, percent)(t), _SETS)
+    sized = sets.where("n_shingles > 1").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"))
+    sized = sized.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")).groupBy("bucket")
+    found = shared.withColumn("bucket", F.col("part") % buckets).groupBy("bucket").cogroup(sized).applyInArrow(_candidates(buckets, percent), _SETS)
     found = materialise(found, "candidates")
     edges = found.select("key", "tokens", "prefix").mapInArrow(_prefixes, "key long, token long")
     low = edges.groupBy("token").agg(F.min("key").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
