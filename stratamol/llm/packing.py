@@ -171,6 +171,7 @@ def pack(docs: DataFrame, window: int = WINDOW, shares: dict | None = None, path
     based = join_null_safe(by_part, F.broadcast(names), ["source"], "left").fillna({"queue": len(own)})
     earlier = W.partitionBy("queue").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)
     based = based.select("part", "source", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    based = materialise(based, "bases")  # with a known size: Spark broadcasts it below its threshold and shuffles beyond
     placed = join_null_safe(tokens, based, ["part", "source"])
     plan = Rounds(totals, given, window) if totals else None
 
