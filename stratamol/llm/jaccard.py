@@ -175,7 +175,7 @@ def _candidates(buckets: int, percent: int):
         row, tok = row[order], tok[order]
         uniq, first = np.unique(row, return_index=True)
         n_of = dict(zip(sizes_of.column("key").to_pylist(), sizes_of.column("n_shingles").to_pylist(), strict=True))
-        ends = np.append(first[1:], len(row))
+        ends = np.append(first, len(row))[1:]
         out = []
         for key, a, b in zip(uniq.tolist(), first.tolist(), ends.tolist(), strict=True):
             n, least = n_of[key], least_shared(n_of[key], percent)
