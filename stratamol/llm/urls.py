@@ -20,7 +20,7 @@ from .common import text_slices
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Hosts and paths from which the labelled table is made: each block word and each allow word in each form.
 BLOCK_WORDS = ("casino", "cheap-pills", "pills-online", "free-money", "spam-farm", "link-farm", "viagra", "poker-bonus", "lottery-win", "xxx-videos", "adult-cams", "adult-x", "adult-dating", "ads-track", "ads-banner", "click-track", "free-bets", "bets-online", "casino-win", "warez", "keygen", "malware", "phishing-login", "payday-loans", "replica-watches", "crypto-giveaway")
-ALLOW_WORDS = ("news", "library", "university", "museum", "science", "docs", "wiki", "archive", "weather", "garden", "recipes", "history", "travel", "school", "journal", "therha", "thether", "tionsh", "oration", "maison", "stadt", "ciudad", "thinore", "andhea", "reering", "ververein")
+ALLOW_WORDS = ("news", "library", "university", "museum", "science", "docs", "wiki", "archive", "weather", "garden", "recipes", "history", "travel", "school", "journal", "therha", "thether", "tionsh", "oration", "maison", "stadt", "ciudad", "thinore", "andhea", "reering", "ververein", "city-council", "open-data", "health", "music", "books", "maps", "sports", "hospital", "parliament", "research", "theatre", "cinema", "church", "bakery", "cycling", "railway", "energy", "ocean", "forest", "village", "thering", "thession", "heating", "lesoir", "unsere", "nuestra", "entreaux", "gesund", "colegio", "post-office", "farm-shop", "chess-club", "photo", "letters", "thand", "tieson", "ererth", "ndly", "whonst", "reation")
 FORMS = ("https://{}.example.org/en/{}", "http://www.{}.example.net/en/{}.html", "https://blog.{}.example.org/fr/{}?page=2&ref=x", "http://m.{}.example.info/es/{}/", "https://{}.example.net/de/{}#top", "http://{}.test/{}")
 SIZES, BUCKETS, PAD = (3, 4, 5), 1 << 13, 5
 
