@@ -122,10 +122,11 @@ _S = f"""SELECT structure_id, count(*) AS n_atoms, sum(m) AS total_mass, avg(x)
   max(x) - min(x) AS dim_x, max(y) - min(y) AS dim_y, max(z) - min(z) AS dim_z FROM w GROUP BY 1"""
 
 
-@query(cte("atoms") + f", w AS (SELECT *, {M} AS m FROM atoms), s AS ({_S}), i AS (SELECT w.structure_id, sum(m * ((y - com_y) * (y - com_y) + (z - com_z) * (z - com_z))) AS ixx, sum(m * ((x - com_x) * (x - com_x) + (z - com_z) * (z - com_z))) AS iyy, sum(m * ((x - com_x) * (x - com_x) + (y - com_y) * (y - com_y))) AS izz, -sum(m * (x - com_x) * (y - com_y)) AS ixy, -sum(m * (x - com_x) * (z - com_z)) AS ixz, -sum(m * (y - com_y) * (z - com_z)) AS iyz FROM w JOIN s ON w.structure_id = s.structure_id GROUP BY 1) SELECT s.structure_id, n_atoms, " + ", ".join(f"{R(c)} AS {c}" for c in ("total_mass", "cx", "cy", "cz", "com_x", "com_y", "com_z", "dim_x", "dim_y", "dim_z")) + ", " + R("sqrt((ixx + iyy + izz) / 2 / total_mass)") + " AS rg, " + ", ".join(f"(round({c}, 5) + 0.0) AS {c}" for c in INERTIA) + " FROM s JOIN i ON s.structure_id = i.structure_id")
+@query(cte("atoms") + f", w AS (SELECT *, {M} AS m FROM atoms), s AS ({_S}), i AS (SELECT w.structure_id, sum(m * ((y - com_y) * (y - com_y) + (z - com_z) * (z - com_z))) AS ixx, sum(m * ((x - com_x) * (x - com_x) + (z - com_z) * (z - com_z))) AS iyy, sum(m * ((x - com_x) * (x - com_x) + (y - com_y) * (y - com_y))) AS izz, -sum(m * (x - com_x) * (y - com_y)) AS ixy, -sum(m * (x - com_x) * (z - com_z)) AS ixz, -sum(m * (y - com_y) * (z - com_z)) AS iyz FROM w JOIN s ON w.structure_id = s.structure_id GROUP BY 1) SELECT s.structure_id, n_atoms, " + ", ".join(f"{R(c)} AS {c}" for c in ("total_mass", "cx", "cy", "cz", "com_x", "com_y", "com_z", "dim_x", "dim_y", "dim_z")) + ", " + R("sqrt((ixx + iyy + izz) / 2 / total_mass)") + " AS rg, " + ", ".join(f"(round({c} / total_mass, 6) + 0.0) AS {c}" for c in INERTIA) + " FROM s JOIN i ON s.structure_id = i.structure_id")
 def geometry(spark, sf):
     g = aggregates.geometry(view(spark, sf, "atoms")).drop("volume", "compactness")
-    return r6(g, *[c for c in g.columns if c not in ("structure_id", "n_atoms", *INERTIA)]).withColumns({c: F.round(c, 5) for c in INERTIA})
+    g = g.withColumns({c: F.round(F.col(c) / F.col("total_mass"), 6) for c in INERTIA})  # divided: sums of products end in exact halves
+    return r6(g, *[c for c in g.columns if c not in ("structure_id", "n_atoms", *INERTIA)])
 
 
 @query()
