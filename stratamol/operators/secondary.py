@@ -75,25 +75,16 @@ def assign(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
     turns = hb.where("j - i in (3, 4, 5)").join(a, [*key, "i"]).join(z, [*key, "j"]).where("ci = cj")
     turns = turns.groupBy(*key, F.col("i").alias("r")).agg(*(F.bool_or(F.col("j") - F.col("i") == n).alias(f"t{n}") for n in (3, 4, 5)))
     last = b.groupBy(*key).agg((F.max("r")).alias("last"))
-    on = [*key]
-
-    def bond(di: int, dj: int, names=("i", "j")):
-        """Hydrogen bonds shifted to candidates (i, j)."""
-        return hb.select(*key, (F.col("i") - di).alias(names[0]), (F.col("j") - dj).alias(names[1]))
-
-    both = [*on, "i", "j"]
-    # parallel: (i-1, j) and (j, i+1), or (j-1, i) and (i, j+1); antiparallel: (i, j) and (j, i), or (i-1, j+1) and (j-1, i+1)
-    pairs = [
-        (bond(-1, 0), bond(0, 1, ("j", "i"))),
-        (bond(-1, 0, ("j", "i")), bond(0, 1)),
-        (bond(0, 0), bond(0, 0, ("j", "i"))),
-        (bond(-1, 1), bond(-1, 1, ("j", "i"))),
-    ]
-    bridges = None
-    for x, y in pairs:
-        one = x.select(*both).join(y.select(*both), both, "left_semi")
-        bridges = one if bridges is None else bridges.unionByName(one)
-    bridges = bridges.join(last, key).where("i >= 1 and j >= i + 3 and j <= last - 1")
+    # a bridge (i, j) needs two bonds: parallel (i-1, j) and (j, i+1), or (j-1, i) and (i, j+1); antiparallel (i, j) and
+    # (j, i), or (i-1, j+1) and (j-1, i+1). Each bond names the pairs that it could be half of; one aggregation joins them.
+    i, j = F.col("i"), F.col("j")
+    halves = [(i + 1, j), (j - 1, i), (j, i + 1), (i, j - 1), (i, j), (j, i), (i + 1, j - 1), (j - 1, i + 1)]
+    named = F.array(*[F.struct(x.alias("i"), y.alias("j"), F.lit(1 << k).alias("bit")) for k, (x, y) in enumerate(halves)])
+    seen = hb.select(*key, F.explode(named).alias("p")).select(*key, "p.*").where("i >= 1 and j >= i + 3").groupBy(*key, "i", "j").agg(F.bit_or("bit").alias("bits"))
+    both = F.lit(False)
+    for mask in (3, 12, 48, 192):
+        both = both | (F.col("bits").bitwiseAND(mask) == mask)
+    bridges = seen.where(both).join(last, key).where("j <= last - 1")
     bridged = bridges.select(*key, F.explode(F.array("i", "j")).alias("r")).distinct().withColumn("bridged", F.lit(True))
     s = b.join(turns, [*key, "r"], "left").join(bridged, [*key, "r"], "left").fillna(False, ["t3", "t4", "t5", "bridged"])
     w = W.partitionBy(*key).orderBy("r")

@@ -28,13 +28,17 @@ def _d2(lengths=None) -> Column:
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
-def _cells(df: DataFrame, name: str, cutoff: float, spread: bool) -> DataFrame:
-    cell = {f"c{a}": F.floor(F.col(f"{name}{a}") / float(cutoff)) for a in "xyz"}
-    df = df.withColumns(cell)
-    if not spread:
+#: The own cell and half of its neighbours: each pair of neighbouring cells meets once.
+HALF = [t for t in product((-1, 0, 1), repeat=3) if t >= (0, 0, 0)]
+
+
+def _cells(df: DataFrame, name: str, cutoff: float, steps=None) -> DataFrame:
+    df = df.withColumns({f"c{a}": F.floor(F.col(f"{name}{a}") / float(cutoff)).cast("int") for a in "xyz"})
+    if not steps:
         return df
-    steps = F.explode(F.array(*[F.struct(*(F.lit(s).alias(a) for s, a in zip(t, "xyz", strict=True))) for t in product((-1, 0, 1), repeat=3)]))
-    return df.withColumn("s", steps).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"s.{a}") for a in "xyz"}).drop("s")
+    moves = F.explode(F.array(*[F.struct(*(F.lit(s).alias(a) for s, a in zip(t, "xyz", strict=True))) for t in steps]))
+    df = df.withColumn("s", moves).withColumn("own", F.expr("s.x = 0 and s.y = 0 and s.z = 0"))
+    return df.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"s.{a}") for a in "xyz"}).drop("s")
 
 
 def _joined(a: DataFrame, b: DataFrame, cutoff, key, cells: bool, lengths, before: bool, inclusive: bool = False) -> DataFrame:
@@ -43,12 +47,19 @@ def _joined(a: DataFrame, b: DataFrame, cutoff, key, cells: bool, lengths, befor
     if cells:
         if lengths:
             raise ValueError("cells don't wrap; leave them out with periodic images")
-        a, b, on = _cells(a, "i", cutoff, True), _cells(b, "j", cutoff, False), [*key, "cx", "cy", "cz"]
+        a = _cells(a, "i", cutoff, HALF if before else list(product((-1, 0, 1), repeat=3)))
+        b, on = _cells(b, "j", cutoff), [*key, "cx", "cy", "cz"]
     pairs = a.join(b, on)
     if before:
-        pairs = pairs.where("i < j")
+        pairs = pairs.where("i < j or not own" if cells else "i < j")
     pairs = pairs.where(near).withColumn("d2", _d2(lengths))
-    return pairs.drop("cx", "cy", "cz", *(f"{s}{x}" for s in "ij" for x in "xyz"))
+    pairs = pairs.drop("cx", "cy", "cz", "own", *(f"{s}{x}" for s in "ij" for x in "xyz"))
+    if before and cells:  # pairs of different cells may come the other way round
+        carried = [c[2:] for c in pairs.columns if c.startswith("i_")]
+        turn = F.col("i") > F.col("j")
+        swap = {f"{s}{m}": F.when(turn, F.col(f"{t}{m}")).otherwise(F.col(f"{s}{m}")) for s, t in ("ij", "ji") for m in ("", *(f"_{c}" for c in carried))}
+        pairs = pairs.select(*(swap[c].alias(c) if c in swap else F.col(c) for c in pairs.columns))
+    return pairs
 
 
 def pairs(atoms: DataFrame, cutoff: float, key: list[str] = KEY, cells: bool = False, lengths=None, extra=(), inclusive: bool = False) -> DataFrame:
