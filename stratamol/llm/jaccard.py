@@ -349,3 +349,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     named = by_key.join(least, "component").select("key", "component_id")
     with_sets = sets.where("key <> 0").join(named, "key").select("doc_id", "n_shingles", "component_id")
     return with_sets.unionByName(sets.where("key = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def oracle(k: int = 4, percent: int = 85) -> str:
+    """The query in DuckDB SQL: a join on shared shingles between distinct sets, and their reachability."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)) AS s FROM a),
+    c AS (SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS rep FROM s),
+    e AS (SELECT rep, n, unnest(s) AS x FROM c WHERE doc_id = rep),
+    l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep <> b.rep AND 100 * b.n >= {percent} * a.n AND 100 * a.n >= {percent} * b.n GROUP BY 1, 2 HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+    r AS (SELECT rep AS a, rep AS b FROM c WHERE doc_id = rep UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+    SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM c JOIN m ON c.rep = m.a"""

@@ -90,3 +90,27 @@ def pareto_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most_copies: int = 3, s
         d = d.join(pick.select("row", F.lit(True).alias("pick")), "row", "left").withColumn("more", F.col("more") | F.col("pick").isNotNull()).drop("pick")
     copies = F.col("sure") + F.col("more").cast("int")
     return d.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def oracle(seed: int = 7) -> str:
+    """The query in DuckDB SQL, with the sampling's ranks as one running sum for each source."""
+    closing, now = "", "m0"
+    for k in range(CLOSING):
+        closing += f""", g{k} AS (SELECT source, any_value(rest) - sum(CASE WHEN more THEN size ELSE 0 END) AS gap FROM {now} GROUP BY source),
+    k{k} AS (SELECT m.source, arg_max(m.id, (m.size, -m.q)) AS id FROM {now} m JOIN g{k} g ON m.source IS NOT DISTINCT FROM g.source WHERE NOT m.more AND m.q IS NOT NULL AND m.size <= g.gap GROUP BY m.source),
+    m{k + 1} AS (SELECT m.* EXCLUDE (more), m.more OR m.id IN (SELECT id FROM k{k}) AS more FROM {now} m)"""
+        now = f"m{k + 1}"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+      (('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, 'null') || '|u'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM d GROUP BY source),
+    w AS (SELECT *, (1 + k % 3)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS cap, (SELECT sum(source_size) FROM s)::DOUBLE AS budget FROM s),
+    l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+    f AS (SELECT arg_min(level, (cap / weight, k)) AS level FROM l WHERE level * weight <= cap),
+    t AS (SELECT source, source_size, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * weight) END AS target FROM w, f),
+    r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t),
+    p AS (SELECT *, least(floor(rate), 3) AS sure, rate - least(floor(rate), 3) AS p, target - least(floor(rate), 3) * source_size AS rest FROM r),
+    j AS (SELECT d.id, d.doc_id, d.source, d.size, d.u, p.* EXCLUDE (source), CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+    q AS (SELECT *, odds / (1 + odds) AS q FROM j),
+    m0 AS (SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size, id ROWS UNBOUNDED PRECEDING) <= rest AS more FROM q){closing}
+    SELECT doc_id, size, source_size, target, ((sure + more::INT) * size)::BIGINT AS taken FROM {now}"""

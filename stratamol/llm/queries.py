@@ -63,4 +63,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licences.oracle(), "op9_chat_formatting": chat.oracle()}
+    return {
+        "op2_license_scan": licences.oracle(), "op5_pareto_mixing": mixing.oracle(), "op6_rendezvous_sharding": sharding.oracle(24), "op7_jaccard_join": jaccard.oracle(4, 85), "op9_chat_formatting": chat.oracle(),
+    }
