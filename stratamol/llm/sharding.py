@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Rows of a shard that are numbered together.
 BLOCK_ROWS = 50_000
 
@@ -19,10 +21,6 @@ def score(key: Column, shard: int, weight: float) -> Column:
     return -F.log(u) / F.lit(float(weight))
 
 
-def _least(scores: list[Column]) -> Column:
-    return F.array_min(F.array(*[F.struct(s.alias("s"), F.lit(k).alias("k")) for k, s in enumerate(scores)]))["k"]
-
-
 def rendezvous(docs: DataFrame, shards: int = 24, weights: list[float] | None = None, grown_weight: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds shard, slot and grown_shard (the shard if there were one more, of grown_weight) to (doc_id, size, text_crc32).
 
@@ -42,6 +40,7 @@ def rendezvous(docs: DataFrame, shards: int = 24, weights: list[float] | None =
     grown = F.when(score(F.col("key"), shards, grown_weight) < F.col("best.s"), F.lit(shards)).otherwise(F.col("best.k"))
     block = (F.conv(F.substring(F.md5(F.concat("key", F.lit("#block"))), 1, 8), 16, 10).cast("long") % blocks).cast("int")
     d = d.select("doc_id", "size", "text_crc32", F.col("best.k").alias("shard"), grown.alias("grown_shard"), block.alias("block"))
+    d = materialise(d, "placed")
     counts = d.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = counts.select("shard", "block", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(W.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32"))
