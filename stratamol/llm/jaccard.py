@@ -6,7 +6,8 @@
 3. The sets left are ordered globally, rarest shingle first. Sets that share a shingle of their prefixes form blocks;
    two linked sets always do.
 4. Each block's sets go into a trie; a traversal shares partial overlaps and prunes subtrees by remaining length and by
-   what is known to be connected. Large blocks are split into pairs of chunks, which together meet all pairs of sets.
+   what is known to be connected. In a large block every set is first held against a few pivots, which settles most of
+   a group of near copies in linear time; then chunks meet in pairs, but for chunks of one settled group.
 
 Keys and hashes have 64 bits; shared shingles are named by their hash partition and 40 further bits.
 """
@@ -18,14 +19,15 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytescan import mix, shingle_sets
-from .common import materialise, text_slices
+from .common import join_null_safe, materialise, text_slices
 from .components import connected_components
 
-#: Sets of a block above which it is split, and of each chunk.
-BLOCK, CHUNK = 4096, 2048
+#: Sets of a block above which it is split, of each chunk, and its pivots.
+BLOCK, CHUNK, PIVOTS = 1024, 512, 4
 #: Shingle occurrences for each hash partition.
 PER_PART = 4_000_000
 #: Occurrences that a task packs before it sends them.
@@ -232,8 +234,10 @@ class Trie:
                 node[5] = min(self.nodes[c][5] for c in node[3])
 
 
-def trie_components(sizes: list[int], sets: list[np.ndarray], percent: int = 85) -> list[int]:
-    """Of each set the least index reachable by links. sets: shared shingles of each; sizes: with those in one set only."""
+def trie_components(sizes: list[int], sets: list[np.ndarray], percent: int = 85, groups: list | None = None) -> list[int]:
+    """Of each set the least index reachable by links. sets: shared shingles of each; sizes: with those in one set only.
+
+    groups: what is known to be connected already, None where nothing is."""
     n = len(sets)
     if n < 2:
         return list(range(n))
@@ -255,6 +259,10 @@ def trie_components(sizes: list[int], sets: list[np.ndarray], percent: int = 85)
             i = parent[i]
         return i
 
+    first: dict = {}
+    for i, at in enumerate(trie.order if groups else []):
+        if groups[at] is not None:
+            parent[i] = first.setdefault(groups[at], i)
     nodes, uniform = trie.nodes, [-1] * len(trie.nodes)
     runs = [frozenset(x[0]) for x in nodes]
     for i in range(n):
@@ -302,9 +310,10 @@ def _joined(percent: int):
         order = np.argsort(keys, kind="stable")
         tokens, ns = table.column("tokens"), table.column("n").to_pylist()
         sets = [np.frombuffer(tokens[int(i)].as_py(), np.int64) for i in order]
-        found = trie_components([ns[i] for i in order], sets, percent)
+        groups = table.column("settled").to_pylist()
+        found = trie_components([ns[i] for i in order], sets, percent, [groups[i] for i in order])
         keys = keys[order]
-        return pa.table({"key": pa.array(keys), "root": pa.array(keys[np.array(found, np.int64)]), "chunks": pa.array([table.column("chunks")[0].as_py()] * len(keys), pa.int32())})
+        return pa.table({"key": pa.array(keys), "root": pa.array(keys[np.array(found, np.int64)])})
 
     return run
 
@@ -323,16 +332,58 @@ def key_components(docs: DataFrame, sets: DataFrame, k: int = 4, percent: int =
     low = edges.groupBy("token").agg(F.min("key").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
     stars = edges.join(low, "token").select("key", "low").where("key <> low").distinct()
     blocks = materialise(connected_components(stars, "key", "low").withColumnsRenamed({"node": "key", "component": "block"}), "blocks")
-    sized = blocks.groupBy("block").agg(F.count("*").alias("members"))
-    sized = sized.withColumn("chunks", F.when(F.col("members") <= BLOCK, 1).otherwise(F.ceil(F.col("members") / CHUNK)).cast("int")).drop("members")
-    chunk = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
-    members = blocks.join(sized, "block").withColumn("mine", chunk).join(found, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = members.select("block", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "chunks", "key", "n", "tokens")
-    links = materialise(pairs.groupBy("block", "p", "q").applyInArrow(_joined(percent), "key long, root long, chunks int"), "links")
-    whole = links.where("chunks = 1 and key <> root").select("key", F.col("root").alias("component"))
-    roots = links.where("chunks = 1 and key <> root").select(F.col("root").alias("key"), F.col("root").alias("component")).distinct()
-    split = connected_components(links.where("chunks > 1"), "key", "root").select(F.col("node").alias("key"), "component")
-    return whole.unionByName(roots).unionByName(split)
+    sized = materialise(blocks.groupBy("block").agg(F.count("*").alias("members")), "sizes")
+    members = blocks.join(sized, "block").join(found.drop("prefix"), "key")
+    small = members.where(F.col("members") <= BLOCK).withColumn("settled", F.lit(None).cast("long"))
+    linked = small.groupBy("block").applyInArrow(_joined(percent), "key long, root long")
+    linked = materialise(linked.where("key <> root"), "links")
+    out = linked.select("key", F.col("root").alias("component")).unionByName(linked.select(F.col("root").alias("key"), F.col("root").alias("component")).distinct())
+    if sized.where(F.col("members") > BLOCK).limit(1).count():
+        out = out.unionByName(_large_blocks(members.where(F.col("members") > BLOCK), percent))
+    return out
+
+
+def _held(percent: int):
+    """Of rows with a set and a pivot's those that link."""
+
+    def run(batches):
+        for b in batches:
+            c = {n: b.column(n) for n in ("key", "n", "tokens", "pivot", "pn", "ptokens")}
+            keep = []
+            for k in range(len(b)):
+                x, y = (np.frombuffer(c[n][k].as_py(), np.int64) for n in ("tokens", "ptokens"))
+                if len(np.intersect1d(x, y, assume_unique=True)) >= least_overlap(c["n"][k].as_py(), c["pn"][k].as_py(), percent):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([c["key"].take(pa.array(keep, pa.int64())), c["pivot"].take(pa.array(keep, pa.int64()))], ["key", "root"])
+
+    return run
+
+
+def _large_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """(key, component) in blocks (block, members, key, n, tokens) too large for one task.
+
+    Sets are salted by chunk against the block's pivots; links to them settle groups. Then pairs of chunks meet, leaving
+    out those of one settled group: where the pivots settle a group, its size counts once, not squared."""
+    salts = F.ceil(F.col("members") / CHUNK).cast("int")
+    members = materialise(members.withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int")).withColumn("salts", salts), "members")
+    picked = members.groupBy("block", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(PIVOTS)).alias("slot")).agg(F.min("key").alias("key"))
+    pivots = members.join(picked.select("block", "key"), ["block", "key"]).select("block", F.col("key").alias("pivot"), F.col("n").alias("pn"), F.col("tokens").alias("ptokens"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    near = members.join(pivots, ["block", "salt"]).where("key <> pivot").select("key", "n", "tokens", "pivot", "pn", "ptokens")
+    held = materialise(near.mapInArrow(_held(percent), "key long, root long"), "held")
+    settled = materialise(connected_components(held, "key", "root").withColumnsRenamed({"node": "key", "component": "settled"}), "settled")
+    members = members.drop("salt", "salts").join(settled, "key", "left")
+    counts = members.groupBy("block", "settled").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    chunks = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    chunks = materialise(chunks.withColumn("chunk", F.row_number().over(W.partitionBy("block").orderBy("settled", "part"))), "chunks")
+    a = chunks.select("block", F.col("settled").alias("sa"), F.col("chunk").alias("p"))
+    b = chunks.select("block", F.col("settled").alias("sb"), F.col("chunk").alias("q"))
+    pairs = a.join(b, "block").where("p <= q and (sa is null or sb is null or sa <> sb)").select("block", "p", "q")
+    met = pairs.select("block", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("chunk"))
+    members = join_null_safe(members, chunks.select("block", "settled", "parts").distinct(), ["block", "settled"]).withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts")).cast("int"))
+    members = join_null_safe(members, chunks.select("block", "settled", "part", "chunk"), ["block", "settled", "part"])
+    tasks = members.select("block", "chunk", "key", "n", "tokens", "settled").join(met, ["block", "chunk"])
+    links = tasks.groupBy("block", "p", "q").applyInArrow(_joined(percent), "key long, root long")
+    return connected_components(links.unionByName(held), "key", "root").select(F.col("node").alias("key"), "component")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
