@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -32,10 +33,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared folder, so that lost executors can reread it."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/stratamol-{uuid.uuid4().hex}/{name}"
+    _MADE.append(path.rsplit("/", 1)[0])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes what materialise() has written so far: call it once results that build on it are written."""
+    jvm = spark.sparkContext._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

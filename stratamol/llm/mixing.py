@@ -4,7 +4,7 @@ Targets: source weights share the budget; a source stops at `most_copies` times
 Within a source of size S and target t each document has t / S expected copies: the whole part is certain, the rest is its
 inclusion probability p for one copy more. Documents are ranked by Pareto order, random odds u / (1 - u) over inclusion
 odds p / (1 - p), and taken in this order while they fit into what is left of the target; a few closing picks of the
-largest document that still fits fill the last gap.
+document that comes nearest to the last gap, if it narrows it, end the sample on either side of the target.
 """
 
 from __future__ import annotations
@@ -86,7 +86,8 @@ def pareto_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most_copies: int = 3, s
         gap = d.groupBy("source").agg(F.first("left").alias("goal"), F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).alias("got"))
         gap = gap.select("source", (F.col("goal") - F.col("got")).alias("gap"))
         fit = join_null_safe(d.where(~F.col("more") & F.col("bin").isNotNull()).select("source", "size", "q", "row"), gap, ["source"])
-        pick = fit.where("size <= gap").groupBy("source").agg(F.max(F.struct("size", -F.col("q"), "row"))["row"].alias("row"))
+        off = F.struct(F.abs(F.col("gap") - F.col("size")), -F.col("size"), "q", "row")
+        pick = fit.where("size < 2 * gap").groupBy("source").agg(F.min(off)["row"].alias("row"))
         d = d.join(pick.select("row", F.lit(True).alias("pick")), "row", "left").withColumn("more", F.col("more") | F.col("pick").isNotNull()).drop("pick")
     copies = F.col("sure") + F.col("more").cast("int")
     return d.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
@@ -97,7 +98,7 @@ def oracle(seed: int = 7) -> str:
     closing, now = "", "m0"
     for k in range(CLOSING):
         closing += f""", g{k} AS (SELECT source, any_value(rest) - sum(CASE WHEN more THEN size ELSE 0 END) AS gap FROM {now} GROUP BY source),
-    k{k} AS (SELECT m.source, arg_max(m.id, (m.size, -m.q)) AS id FROM {now} m JOIN g{k} g ON m.source IS NOT DISTINCT FROM g.source WHERE NOT m.more AND m.q IS NOT NULL AND m.size <= g.gap GROUP BY m.source),
+    k{k} AS (SELECT m.source, arg_min(m.id, (abs(g.gap - m.size), -m.size, m.q)) AS id FROM {now} m JOIN g{k} g ON m.source IS NOT DISTINCT FROM g.source WHERE NOT m.more AND m.q IS NOT NULL AND m.size < 2 * g.gap GROUP BY m.source),
     m{k + 1} AS (SELECT m.* EXCLUDE (more), m.more OR m.id IN (SELECT id FROM k{k}) AS more FROM {now} m)"""
         now = f"m{k + 1}"
     return f"""

@@ -213,8 +213,9 @@ def test_mixing(docs, none):
         assert r["source_size"] == size[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 * (1 + r["target"])
         assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
-    for s in size:
-        assert taken[s] <= target[s] + 1e-6
+    for s in size:  # no single document more would come nearer
+        more = [r["size"] for r in got if r["source"] == s and r["size"] and r["copies"] < target[s] / max(1, size[s])]
+        assert all(abs(taken[s] + n - target[s]) >= abs(taken[s] - target[s]) - 1e-6 for n in more)
     again = mixing.pareto_mix(docs).collect()
     assert sorted(map(str, got)) == sorted(map(str, again)) and mixing.pareto_mix(none).count() == 0
 
