@@ -42,3 +42,23 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     run_to_parquet(running_series(events, "user_id", "event_id", "value"), f"{place}/out", f"{place}/state")
     return spark.read.parquet(f"{place}/out")
+
+
+def stream_atoms(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Atoms of coordinate files as they arrive in a folder; each file is one row of the source and parsed whole."""
+    import pandas as pd
+
+    from ..sources import formats
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf.path, pdf.content, strict=True):
+                try:
+                    out += [[formats.stem(path), *(a.get(f) for f in formats.ATOM_FIELDS[1:-1]), None] for a in formats.parse_file(path, bytes(content))[0]]
+                except ValueError as e:
+                    out.append([formats.stem(path), *[None] * (len(formats.ATOM_FIELDS) - 2), str(e)])
+            yield pd.DataFrame(out, columns=formats.ATOM_FIELDS).astype({c: "Int32" for c in ("model_id", "atom_idx", "serial", "resid", "formal_charge")} | {"hetero": "boolean"})
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "content").mapInPandas(run, formats.ATOM_SCHEMA)
