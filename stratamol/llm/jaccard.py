@@ -31,7 +31,7 @@ BLOCK, CHUNK, PIVOTS = 1024, 512, 4
 #: Shingle occurrences for each hash partition.
 PER_PART = 4_000_000
 #: Occurrences that a task packs before it sends them.
-PACK = 4_000_000
+PACK = 2_000_000
 
 
 def least_overlap(nx, ny, percent: int = 85):
@@ -113,8 +113,12 @@ def _dealt(docs, k, parts, id_col, text_col):
             ns = np.array([len(h) for h in sets], np.int64)
             h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+            held.clear()
             order = np.argsort(part, kind="stable")
-            row, tok, part = np.repeat(np.arange(len(sets)), ns)[order], (h & np.uint64((1 << 40) - 1))[order], part[order]
+            row = np.repeat(np.arange(len(sets), dtype=np.int32), ns)[order]
+            sets.clear()
+            tok, part = (h & np.uint64((1 << 40) - 1))[order], part[order]
+            del h, order
             edges = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 a, b = edges[p], edges[p + 1]
@@ -136,17 +140,28 @@ def _dealt(docs, k, parts, id_col, text_col):
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, _PACK)
 
 
+def _frequencies(tok: np.ndarray) -> np.ndarray:
+    """How often each value occurs, at most 255; of wide arrays only an order and a sorted copy."""
+    order = np.argsort(tok)
+    ordered = tok[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(tok) else np.zeros(0, np.int64)
+    del ordered
+    n = np.diff(np.append(first, len(tok)))
+    out = np.empty(len(tok), np.uint8)
+    out[order] = np.repeat(np.minimum(n, 255).astype(np.uint8), n)
+    return out
+
+
 def _shared(parts: int, buckets: int):
     """In one hash partition: the shingles found in two sets at least, dealt on by set."""
 
     def run(table: pa.Table) -> pa.Table:
         p = table.column("part")[0].as_py()
         keys, counts, tok = _once(*_unpack(table)[:3])
-        _, inverse, df = np.unique(tok, return_inverse=True, return_counts=True)
-        df = df[inverse]
+        df = _frequencies(tok)
         keep = df >= 2
-        row = np.repeat(np.arange(len(keys)), counts)[keep]
-        tok, df = tok[keep], np.minimum(df[keep], 255)
+        row = np.repeat(np.arange(len(keys), dtype=np.int32), counts)[keep]
+        tok, df = tok[keep], df[keep]
         bucket = (keys % buckets).astype(np.int32)[row]
         order = np.argsort(bucket, kind="stable")
         row, tok, df, bucket = row[order], tok[order], df[order], bucket[order]
