@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elements import AMINO_ACIDS, ANIONIC, AROMATIC, CATIONIC, COVALENT_RADIUS, HEAVY_ATOMS, IONS, MASS, NUCLEOTIDES, POCKET_HYDROPHOBIC, WATER, case_sql
 from ..functions import elements as el
-from ..operators import aggregates, coarse, compare, ensemble, graph, quality, ranking, residues, secondary, select, spatial, surface
+from ..operators import aggregates, coarse, compare, datasets, ensemble, graph, presets, quality, ranking, residues, secondary, select, spatial, surface
 from ..sources import pdb_text
 from ..streaming import frames
 from .adapters import cte, table, view
@@ -550,5 +550,39 @@ def structure_topology(spark, sf):
     return quality.topology(view(spark, sf, "atoms")).drop("n_gaps", "n_breaks")
 
 
+@query("SELECT p_partkey, p_name, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.2 + 0.1 THEN 'validation' ELSE 'train' END AS split FROM (SELECT p_partkey, p_name, ('0x' || substr(md5('3:' || p_partkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, row_number() OVER (PARTITION BY trim(p_name) ORDER BY p_partkey) AS r FROM part) t WHERE r = 1) v")
+def prepare_table(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    return datasets.prepare(p, "p_partkey", "p_name", ["p_size"], 0.2, 0.1, 3).select("p_partkey", "p_name", "split")
+
+
+@query(cte("atoms") + RUNS + " SELECT structure_id, residue_idx, CAST(count(*) AS DOUBLE) AS residue_size, " + ", ".join(f"CASE WHEN first(resname) = '{a}' THEN 1.0::DOUBLE ELSE 0 END AS residue_{a}" for a in AMINO_ACIDS) + f", CASE WHEN first(resname) NOT IN {_in(AMINO_ACIDS)} THEN 1.0::DOUBLE ELSE 0 END AS \"residue_UNK\" FROM runs GROUP BY 1, 2")
+def residue_node_features(spark, sf):
+    return presets.residue_node_features(residues.residues(view(spark, sf, "atoms")), "ml")
+
+
+@query(cte("atoms") + f" SELECT a.structure_id, a.atom_idx AS i, b.atom_idx AS j, {R(f'sqrt({D2})')} AS distance, sqrt({D2}) < 1.2 * ({case_sql('a.element', COVALENT_RADIUS, 0.75)} + {case_sql('b.element', COVALENT_RADIUS, 0.75)}) AS covalent {PAIR} WHERE {D2} < 25 AND NOT (a.chain = b.chain AND abs(a.resid - b.resid) < 2)")
+def radius_graph(spark, sf):
+    return r6(datasets.graph_edges(view(spark, sf, "atoms"), "radius", 5.0, min_seq_sep=2), "distance")
+
+
+@query(cte("ensemble") + ", m AS (SELECT structure_id, model_id, avg(x) AS cx, avg(y) AS cy FROM ensemble WHERE model_id IN (1, 2) GROUP BY 1, 2) SELECT a.structure_id, f.feature, " + ", ".join(f"{R(f'CASE f.feature WHEN {chr(39)}cx{chr(39)} THEN {x}cx ELSE {x}cy END')} AS {n}" for n, x in (("a", "a."), ("b", "b."))) + ", " + R("CASE f.feature WHEN 'cx' THEN b.cx - a.cx ELSE b.cy - a.cy END") + " AS delta FROM m a JOIN m b ON a.structure_id = b.structure_id AND a.model_id = 1 AND b.model_id = 2, (VALUES ('cx'), ('cy')) f(feature)")
+def descriptor_changes(spark, sf):
+    e = view(spark, sf, "ensemble")
+    one, two = (e.where(F.col("model_id") == m).groupBy("structure_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")) for m in (1, 2))
+    return r6(compare.descriptor_changes(one, two, ["cx", "cy"]), "a", "b", "delta")
+
+
+@query(cte("atoms") + _BEADS + ", s AS (SELECT structure_id, sum(CASE bead_idx WHEN 0 THEN 1.0 WHEN 1 THEN 3.0 END) AS w, sum(CASE bead_idx WHEN 0 THEN 1.0 ELSE 3.0 END * x) AS x, sum(CASE bead_idx WHEN 0 THEN 1.0 ELSE 3.0 END * y) AS y, sum(CASE bead_idx WHEN 0 THEN 1.0 ELSE 3.0 END * z) AS z FROM beads WHERE bead_idx IN (0, 1) GROUP BY 1) SELECT structure_id, 'V' AS site_name, " + ", ".join(f"{R(f'{c} / w::DOUBLE')} AS {c}" for c in "xyz") + " FROM s")
+def virtual_sites(spark, sf):
+    sites = spark.createDataFrame([("V", [0, 1], [1.0, 3.0])], "site_name string, parents array<int>, weights array<double>")
+    return r6(coarse.virtual_sites(_beads(spark, sf), sites), "x", "y", "z")
+
+
+@query(cte("atoms") + _BEADS + ", w AS (SELECT *, row_number() OVER (PARTITION BY structure_id, bead_name ORDER BY bead_idx) AS n FROM beads) SELECT structure_id, bead_idx, CASE WHEN n = 1 THEN bead_name ELSE bead_name || '_' || n END AS group_name FROM w")
+def bead_group_names(spark, sf):
+    return coarse.group_names(_beads(spark, sf)).select("structure_id", "bead_idx", "group_name")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return contact_density(spark, sf)
