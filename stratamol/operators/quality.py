@@ -28,7 +28,7 @@ def inventory(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
     def tally(c):
         return F.sum(c.cast("long"))
 
-    cols = [F.count("*").alias("n_atoms"), tally(blank).alias("n_blank_elements"), tally(~blank & ~is_element("element")).alias("n_unknown_elements"), tally(F.upper("element") == "H").alias("n_hydrogens")]
+    cols = [F.count("*").alias("n_atoms"), tally(blank).alias("n_blank_elements"), tally(~blank & ~is_element("element")).alias("n_unknown_elements"), tally(F.upper(F.trim("element")).isin("H", "D")).alias("n_hydrogens")]
     cols += [tally(F.coalesce(F.col(c), F.lit("")) == "").alias(f"n_without_{c}") for c in ("atom_name", "resname", "chain")]
     if "altloc" in atoms.columns:
         cols.append(tally(~F.coalesce(F.col("altloc"), F.lit("")).isin("", " ")).alias("n_altlocs"))

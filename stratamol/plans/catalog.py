@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elements import AMINO_ACIDS, ANIONIC, AROMATIC, CATIONIC, COVALENT_RADIUS, HEAVY_ATOMS, IONS, MASS, NUCLEOTIDES, POCKET_HYDROPHOBIC, WATER, case_sql
 from ..functions import elements as el
+from ..functions.geometry import ON_AXIS, fibonacci_sphere
 from ..operators import aggregates, coarse, compare, datasets, ensemble, graph, presets, quality, ranking, residues, secondary, select, spatial, surface
 from ..sources import pdb_text
 from ..streaming import frames
@@ -384,6 +385,21 @@ def streamed_frames(spark, sf):
 # backbone
 
 
+def _dihedral_sql(source: str, points: tuple[str, str, str, str], name: str, keep: str) -> str:
+    """SELECT of a dihedral over point columns <p>x, <p>y, <p>z of source, in the steps of functions.geometry.dihedral."""
+    a, b, c, d = points
+    out = [f"{a}{k} - {b}{k} AS {name}_u{k}, {c}{k} - {b}{k} AS {name}_v{k}, {d}{k} - {c}{k} AS {name}_w{k}" for k in "xyz"]
+
+    def dots(p, q):
+        return "(" + " + ".join(f"{name}_{p}{k} * {name}_{q}{k}" for k in "xyz") + ")"
+
+    out.append(f"{dots('v', 'v')} AS {name}_n, {dots('u', 'v')} / {name}_n AS {name}_s, {dots('w', 'v')} / {name}_n AS {name}_t")
+    out += [f"{name}_u{k} - {name}_v{k} * {name}_s AS {name}_p{k}, {name}_w{k} - {name}_v{k} * {name}_t AS {name}_q{k}" for k in "xyz"]
+    out += [f"{name}_v{i} * {name}_p{j} - {name}_v{j} * {name}_p{i} AS {name}_c{k}" for k, i, j in ("xyz", "yzx", "zxy")]
+    out.append(f"CASE WHEN {name}_n > 0 THEN CASE WHEN least({dots('p', 'p')}, {dots('q', 'q')}) <= {name}_n * {ON_AXIS!r} THEN 0.0 ELSE degrees(atan2({dots('c', 'q')} / sqrt({name}_n), {dots('p', 'q')})) END END AS {name}")
+    return f"SELECT {keep}, {', '.join(out)} FROM {source}"
+
+
 @query(cte("backbone") + """, b AS (SELECT structure_id, resid, count(*) AS n, max(x) FILTER (atom_name = 'N') AS nx, max(y) FILTER (atom_name = 'N') AS ny, max(z) FILTER (atom_name = 'N') AS nz, max(x) FILTER (atom_name = 'CA') AS ax, max(y) FILTER (atom_name = 'CA') AS ay, max(z) FILTER (atom_name = 'CA') AS az,
   max(x) FILTER (atom_name = 'C') AS cx, max(y) FILTER (atom_name = 'C') AS cy, max(z) FILTER (atom_name = 'C') AS cz, max(x) FILTER (atom_name = 'O') AS ox, max(y) FILTER (atom_name = 'O') AS oy, max(z) FILTER (atom_name = 'O') AS oz FROM backbone GROUP BY 1, 2 HAVING count(*) = 4),
  l AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py, lag(cz) OVER w AS pz, lag(ox) OVER w AS qx, lag(oy) OVER w AS qy, lag(oz) OVER w AS qz FROM b WINDOW w AS (PARTITION BY structure_id ORDER BY resid)),
@@ -397,9 +413,23 @@ def hydrogen_bonds(spark, sf):
     return secondary.hydrogen_bonds(secondary.backbone(view(spark, sf, "backbone")))
 
 
-@query()
+def _turn(given: str, name: str) -> str:
+    return f"CASE WHEN {given} THEN CASE WHEN {R(name)} = -180 THEN 180.0::DOUBLE ELSE {R(name)} END END AS {name}"
+
+
+_FOUR = ", ".join(f"max({x}) FILTER (atom_name = '{n}') AS {p}{x}" for n, p in (("N", "n"), ("CA", "a"), ("C", "c"), ("O", "o")) for x in "xyz")
+_NEXT = ", ".join(f"lag({p}{x}) OVER w AS p{p}{x}" for p in "ac" for x in "xyz") + ", " + ", ".join(f"lead(n{x}) OVER w AS nn{x}" for x in "xyz")
+_NEAR = " + ".join(f"(pc{x} - n{x}) * (pc{x} - n{x})" for x in "xyz")
+
+
+@query(cte("backbone") + f""", b AS (SELECT structure_id, resid, {_FOUR} FROM backbone GROUP BY 1, 2 HAVING count(*) = 4),
+ l AS (SELECT *, row_number() OVER w - 1 AS r, {_NEXT} FROM b WINDOW w AS (PARTITION BY structure_id ORDER BY resid)), k AS (SELECT *, coalesce(sqrt({_NEAR}) < 2.5, false) AS linked FROM l),
+ m AS (SELECT *, coalesce(lead(linked) OVER (PARTITION BY structure_id ORDER BY r), false) AS next FROM k), f AS ({_dihedral_sql("m", ("pc", "n", "a", "c"), "phi", "m.*")}),
+ g AS ({_dihedral_sql("f", ("pa", "pc", "n", "a"), "omega", "f.*")}), h AS ({_dihedral_sql("g", ("n", "a", "c", "nn"), "psi", "g.*")})
+ SELECT structure_id, CAST(r AS INT) AS r, 'A' AS chain, resid, '' AS icode, 'ALA' AS resname, {_turn("linked", "phi")}, {_turn("next", "psi")}, {_turn("linked", "omega")} FROM h""")
 def backbone_torsions(spark, sf):
-    return secondary.torsions(view(spark, sf, "backbone"))
+    t = r6(secondary.torsions(view(spark, sf, "backbone")), "phi", "psi", "omega")
+    return t.withColumns({c: F.when(F.col(c) == -180.0, 180.0).otherwise(F.col(c)) for c in ("phi", "psi", "omega")})  # one angle, whose sign is rounding noise
 
 
 @query()
@@ -418,9 +448,18 @@ def gaps_and_breaks(spark, sf):
     return secondary.gaps_and_breaks(residues.representatives(view(spark, sf, "atoms")))
 
 
-@query()
+_POINTS = ", ".join(f"({k}, {', '.join(f'CAST({v!r} AS DOUBLE)' for v in p)})" for k, p in enumerate(fibonacci_sphere(48)))
+_OUT = " + ".join(f"(p{x} * radius - d{x}) * (p{x} * radius - d{x})" for x in "xyz")
+_ASA = case_sql("resname", el.MAX_ASA, "NULL").replace("'NULL'", "NULL")
+
+
+@query(cte("atoms") + RUNS + f""", s AS (SELECT *, {case_sql("element", el.VDW_RADIUS, el.DEFAULT_VDW)} + 1.4::DOUBLE AS radius FROM runs), t AS (SELECT * FROM (VALUES {_POINTS}) v(k, px, py, pz)),
+ n AS (SELECT a.structure_id, a.atom_idx, a.radius, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, b.radius * b.radius AS r2 FROM s a JOIN s b ON a.structure_id = b.structure_id AND a.atom_idx <> b.atom_idx WHERE {D2} < (a.radius + b.radius) * (a.radius + b.radius)),
+ h AS (SELECT structure_id, atom_idx, count(DISTINCT k) AS hidden FROM n, t WHERE {_OUT} < r2 GROUP BY 1, 2),
+ g AS (SELECT s.structure_id, residue_idx, first(chain) AS chain, first(resid) AS resid, first(icode) AS icode, first(resname) AS resname, sum(radius * radius * {surface.PI4!r}::DOUBLE * (48 - coalesce(hidden, 0)) / 48) AS sasa FROM s LEFT JOIN h ON s.structure_id = h.structure_id AND s.atom_idx = h.atom_idx GROUP BY 1, 2)
+ SELECT structure_id, residue_idx, chain, resid, icode, resname, {R("sasa")} AS sasa, {R(f"sasa / ({_ASA})")} AS rsa, coalesce(sasa / ({_ASA}) >= 0.2, false) AS exposed FROM g""")
 def solvent_surface(spark, sf):
-    return surface.residue_surface(view(spark, sf, "atoms"), n_points=48)
+    return r6(surface.residue_surface(view(spark, sf, "atoms"), n_points=48), "sasa", "rsa")
 
 
 # graphs
@@ -438,7 +477,10 @@ def node_degrees(spark, sf):
     return graph.degrees(_edges(spark, sf)[1])
 
 
-@query()
+_HOT = ", ".join(f"CAST(element = '{e}' AS INT) AS element_{e}" for e in el.DEFAULT_ELEMENTS) + ", CAST(element NOT IN " + _in(el.DEFAULT_ELEMENTS) + " AS INT) AS element_other"
+
+
+@query(cte("atoms") + f" SELECT structure_id, atom_idx, CAST({case_sql('element', {k: v for k, v in el.NUMBERED.items() if k in 'CNOSHP'}, 0)} AS INT) AS atomic_number, {M} AS mass, {case_sql('element', COVALENT_RADIUS, 0.75)} AS covalent_radius, 0 AS formal_charge, {_HOT} FROM atoms")
 def node_features(spark, sf):
     return graph.node_features(view(spark, sf, "atoms"))
 
@@ -460,10 +502,16 @@ def edge_angles(spark, sf):
     return r6(graph.edge_angles(e, a), "angle")
 
 
-@query()
+_PLACED = ", ".join(f"{p}.{x} AS {p}{x}" for p in ("pa", "pi", "pj", "pb") for x in "xyz")
+_AT = " ".join(f"JOIN atoms p{c} ON p{c}.structure_id = e.structure_id AND p{c}.atom_idx = {at}" for c, at in (("a", "a.j"), ("i", "e.i"), ("j", "e.j"), ("b", "b.j")))
+
+
+@query(cte("atoms") + _DIR + f""", q AS (SELECT e.structure_id, e.i, e.j, {_PLACED} FROM e JOIN d a ON a.structure_id = e.structure_id AND a.i = e.i AND a.j <> e.j JOIN d b ON b.structure_id = e.structure_id AND b.i = e.j AND b.j <> e.i {_AT}),
+ t AS ({_dihedral_sql("q", ("pa", "pi", "pj", "pb"), "t", "structure_id, i, j")}), g AS (SELECT structure_id, i, j, avg(t) AS t FROM t GROUP BY 1, 2, 3)
+ SELECT e.structure_id, e.i, e.j, {R("coalesce(t, 0.0)")} AS dihedral FROM e LEFT JOIN g ON e.structure_id = g.structure_id AND e.i = g.i AND e.j = g.j""")
 def edge_dihedrals(spark, sf):
     a, e = _edges(spark, sf)
-    return graph.edge_dihedrals(e, a)
+    return r6(graph.edge_dihedrals(e, a), "dihedral")
 
 
 @query(cte("atoms") + _DIR + f", g AS (SELECT structure_id, i, count(*) AS deg FROM d GROUP BY 1, 2), p AS (SELECT d.structure_id, d.i, d.j, 1.0 / deg AS p FROM d JOIN g ON d.structure_id = g.structure_id AND d.i = g.i) SELECT a.structure_id, a.i AS atom_idx, 2 AS step, {R('sum(a.p::DOUBLE * b.p::DOUBLE)')} AS p FROM p a JOIN p b ON a.structure_id = b.structure_id AND a.j = b.i AND b.j = a.i GROUP BY 1, 2")
@@ -483,7 +531,19 @@ def bond_orders(spark, sf):
     return graph.bond_orders(aggregates.bonds(a), a)
 
 
-@query()
+def _signed(sign: str, pairs) -> str:
+    return f"(resname || ' ' || atom_name) IN {_in([' '.join(p) for p in pairs])} THEN {sign}"
+
+
+_GIVEN = "CASE WHEN " + _signed("1", el.CATIONIC) + " WHEN " + _signed("-1", ANIONIC) + " ELSE 0 END"
+
+
+@query(cte("atoms") + REPS + f""", s AS (SELECT *, {_GIVEN} AS sign, atom_name NOT IN ('N', 'CA', 'C', 'O', 'OXT') AND element <> 'H' AS side, resname = 'CYS' AND atom_name = 'SG' AS sg FROM runs),
+ p AS (SELECT a.structure_id, a.residue_idx AS i, b.residue_idx AS j, min({D2}) FILTER (a.sg AND b.sg) AS ss, min({D2}) FILTER (a.sign * b.sign < 0) AS salt, min({D2}) FILTER (a.side AND b.side) AS sc FROM s a JOIN s b ON a.structure_id = b.structure_id AND a.atom_idx < b.atom_idx AND a.residue_idx <> b.residue_idx WHERE {D2} < 25 GROUP BY 1, 2, 3),
+ e AS (SELECT a.structure_id, a.atom_idx AS i, b.atom_idx AS j {REP_PAIR} WHERE {D2} < 64), r AS (SELECT structure_id, residue_idx, first(chain) AS chain, first(resid) AS resid, first(resname) AS resname, bool_or(hetero) AS hetero FROM runs GROUP BY 1, 2)
+ SELECT e.structure_id, e.i, e.j, CASE WHEN ss < 6.25 THEN 'disulfide' WHEN (u.hetero AND u.resname NOT IN {_in(WATER)}) OR (v.hetero AND v.resname NOT IN {_in(WATER)}) THEN 'ligand' WHEN salt < 16 THEN 'salt_bridge' WHEN u.chain = v.chain AND abs(u.resid - v.resid) = 1 THEN 'covalent'
+  WHEN sc < 25 AND u.resname IN {_in(el.GRAPH_HYDROPHOBIC)} AND v.resname IN {_in(el.GRAPH_HYDROPHOBIC)} THEN 'hydrophobic' WHEN sc < 25 AND u.resname IN {_in(el.GRAPH_POLAR)} AND v.resname IN {_in(el.GRAPH_POLAR)} THEN 'polar' ELSE 'proximity' END AS label
+ FROM e LEFT JOIN p ON e.structure_id = p.structure_id AND e.i = p.i AND e.j = p.j JOIN r u ON u.structure_id = e.structure_id AND u.residue_idx = e.i JOIN r v ON v.structure_id = e.structure_id AND v.residue_idx = e.j""")
 def residue_interactions(spark, sf):
     a = view(spark, sf, "atoms")
     return graph.interactions(a, residues.contact_map(a))
