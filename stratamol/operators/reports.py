@@ -51,16 +51,25 @@ def preflight(atoms: DataFrame, workflow: str | None = None, deep: bool = False,
     return out if workflow is None else out.where((F.size("workflows") == 0) | F.array_contains("workflows", workflow))
 
 
+def _residue_contacts(atoms: DataFrame, other: DataFrame, cutoff: float, key: list[str]) -> DataFrame:
+    """(key, i, j): contacts between residues that other has too, by label."""
+    label = residue_label("chain", "resname", "resid", "icode").alias("label")
+    points = residues.representatives(atoms, "ca", key).withColumn("label", label).join(other.select(*key, label).distinct(), [*key, "label"], "left_semi")
+    p = spatial.pairs(points, cutoff, key, extra=["label"])
+    return p.select(*key, F.least("i_label", "j_label").alias("i"), F.greatest("i_label", "j_label").alias("j"))
+
+
 def compare_structures(a: DataFrame, b: DataFrame, cutoff: float = 8.0, key: list[str] = KEY) -> DataFrame:
-    """(key, n_atoms_a, n_atoms_b, n_matched, rmsd, max_deviation, worst, contacts_gained, contacts_lost) as the
-    coordinates stand; atoms are matched by residue and name."""
+    """(key, n_atoms_a, n_atoms_b, n_matched, rmsd, max_deviation, worst, common, lost, gained) as the coordinates stand.
+
+    Atoms are matched by residue and name; worst is the residue that moved most; contacts are those of common residues."""
     m = compare.matched(a, b, key)
     d2 = sum(((F.col(f"p{x}") - F.col(f"q{x}")) * (F.col(f"p{x}") - F.col(f"q{x}")) for x in "yz"), (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")))
     fit = m.groupBy(*key).agg(F.count("*").alias("n_matched"), F.sqrt(F.avg(d2)).alias("rmsd"))
     worst = compare.largest(compare.deviations(m, key), 1, key).select(*key, F.col("rmsd").alias("max_deviation"), residue_label("chain", "resname", "resid", "icode").alias("worst"))
     out = a.groupBy(*key).agg(F.count("*").alias("n_atoms_a")).join(b.groupBy(*key).agg(F.count("*").alias("n_atoms_b")), key)
-    out = out.join(fit, key, "left").join(worst, key, "left").join(compare.contact_changes(a, b, cutoff, key=key), key, "left")
-    return out.fillna(0, ["n_matched"])
+    changes = compare.contact_changes(_residue_contacts(a, b, cutoff, key), _residue_contacts(b, a, cutoff, key), key)
+    return out.join(fit, key, "left").join(worst, key, "left").join(changes, key, "left").fillna(0, ["n_matched", "common", "lost", "gained"])
 
 
 def pocket_text(atoms: DataFrame, ligand: str | None = None, key: list[str] = KEY) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.elements import AMINO_ACIDS, ANIONIC, AROMATIC, CATIONIC, COVALENT_RADIUS, HEAVY_ATOMS, IONS, MASS, NUCLEOTIDES, POCKET_HYDROPHOBIC, WATER, case_sql
 from ..functions import elements as el
 from ..functions.geometry import ON_AXIS, fibonacci_sphere
-from ..operators import aggregates, coarse, compare, datasets, ensemble, graph, presets, quality, ranking, residues, secondary, select, spatial, surface
+from ..operators import aggregates, coarse, compare, datasets, ensemble, graph, presets, quality, ranking, reports, residues, secondary, select, spatial, surface, transforms
 from ..sources import pdb_text
 from ..streaming import frames
 from .adapters import cte, table, view
@@ -646,3 +647,66 @@ def bead_group_names(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return contact_density(spark, sf)
+
+
+# moves, measures, reports
+
+_RADIAN = math.radians(30.0)
+
+
+@query(cte("atoms") + f", m AS (SELECT structure_id, avg(x) AS ox, avg(y) AS oy FROM atoms GROUP BY 1) SELECT a.structure_id, atom_idx, {R(f'ox + (x - ox) * {math.cos(_RADIAN)!r}::DOUBLE - (y - oy) * {math.sin(_RADIAN)!r}::DOUBLE + 1.5')} AS x, {R(f'oy + (y - oy) * {math.cos(_RADIAN)!r}::DOUBLE + (x - ox) * {math.sin(_RADIAN)!r}::DOUBLE - 2.0')} AS y, {R('z + 0.25')} AS z FROM atoms a JOIN m ON a.structure_id = m.structure_id")
+def moved_atoms(spark, sf):
+    a = transforms.translated(transforms.turned(view(spark, sf, "atoms"), "z", 30.0), (1.5, -2.0, 0.25))
+    return r6(a, "x", "y", "z").select("structure_id", "atom_idx", "x", "y", "z")
+
+
+@query(cte("atoms") + f", w AS (SELECT *, {M} AS m FROM atoms), c AS (SELECT structure_id, sum(m * x) / sum(m) AS ox, sum(m * y) / sum(m) AS oy, sum(m * z) / sum(m) AS oz FROM w GROUP BY 1) SELECT a.structure_id, atom_idx, {R('x - ox')} AS x, {R('y - oy')} AS y, {R('z - oz')} AS z FROM atoms a JOIN c ON a.structure_id = c.structure_id")
+def centred_atoms(spark, sf):
+    return r6(transforms.centred(view(spark, sf, "atoms"), weighted=True), "x", "y", "z").select("structure_id", "atom_idx", "x", "y", "z")
+
+
+_PICKED = ", ".join(f"max({x}) FILTER (atom_idx = {k}) AS p{k}{x}" for k in range(4) for x in "xyz")
+_AB, _BC = (" + ".join(f"(p{i}{x} - p1{x}) * (p{i}{x} - p1{x})" for x in "xyz") for i in (0, 2))
+_ARMS = " + ".join(f"(p0{x} - p1{x}) * (p2{x} - p1{x})" for x in "xyz")
+
+
+@query(cte("atoms") + f", p AS (SELECT structure_id, {_PICKED} FROM atoms GROUP BY 1), q AS ({_dihedral_sql('p', ('p0', 'p1', 'p2', 'p3'), 't', 'p.*')})" + f""" SELECT structure_id, 'distance' AS kind, {R(f"sqrt({_AB})")} AS value, 'angstrom' AS unit FROM q WHERE p1x IS NOT NULL
+ UNION ALL SELECT structure_id, 'angle', CASE WHEN ({_AB}) > 0 AND ({_BC}) > 0 THEN {R(f"degrees(acos(greatest(-1.0, least(1.0, ({_ARMS}) / (sqrt({_AB}) * sqrt({_BC}))))))")} END, 'degrees' FROM q WHERE p2x IS NOT NULL
+ UNION ALL SELECT structure_id, 'dihedral', CASE WHEN {R('t')} = -180 THEN 180 ELSE {R('t')} END, 'degrees' FROM q WHERE p3x IS NOT NULL""")
+def measures(spark, sf):
+    a = view(spark, sf, "atoms")
+    two, three, four = (transforms.measured(a, list(range(n))) for n in (2, 3, 4))
+    out = r6(two.unionByName(three).unionByName(four), "value")
+    return out.withColumn("value", F.when((F.col("kind") == "dihedral") & (F.col("value") == -180.0), 180.0).otherwise(F.col("value")))
+
+
+@query(cte("atoms") + f""", n AS (SELECT structure_id, element AS e, count(*) AS n FROM atoms GROUP BY 1, 2), f AS (SELECT structure_id, string_agg(e || CASE WHEN n > 1 THEN n::VARCHAR ELSE '' END, '' ORDER BY CASE e WHEN 'C' THEN 0 WHEN 'H' THEN 1 ELSE 2 END, e) AS formula FROM n GROUP BY 1)
+ SELECT a.structure_id, a.structure_id || ': ' || count(*) || ' atoms | formula ' || first(formula) || ' | chains ' || string_agg(DISTINCT chain, ',' ORDER BY chain) || printf(' | size %.1fx%.1fx%.1f A', max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS summary FROM atoms a JOIN f ON a.structure_id = f.structure_id GROUP BY 1""")
+def summary_lines(spark, sf):
+    return reports.summary_lines(view(spark, sf, "atoms"))
+
+
+@query()
+def ensemble_summary(spark, sf):
+    return reports.ensemble_summary(view(spark, sf, "ensemble"), align=False)
+
+
+@query(cte("atoms") + RUNS + f""", k AS (SELECT structure_id, residue_idx, first(resname) AS resname, count(DISTINCT atom_name) FILTER (atom_name IN ('N', 'CA', 'C', 'O')) AS bb FROM runs GROUP BY 1, 2)
+ SELECT structure_id, 'missing_hydrogens' AS code FROM atoms GROUP BY 1 HAVING count(*) FILTER (element = 'H') = 0 UNION ALL SELECT structure_id, 'missing_backbone' FROM k GROUP BY 1 HAVING count(*) FILTER (resname IN {_in(AMINO_ACIDS)} AND bb < 4) > 0
+ UNION ALL SELECT structure_id, 'nonstandard_residues' FROM k GROUP BY 1 HAVING count(*) FILTER (resname NOT IN {_in((*AMINO_ACIDS, *NUCLEOTIDES, *WATER))}) > 0""")
+def preflight_codes(spark, sf):
+    """The codes of the coarse-graining and descriptor workflows but for side chains."""
+    got = reports.preflight(view(spark, sf, "atoms"), deep=True)
+    return got.where("code in ('missing_hydrogens', 'missing_backbone', 'nonstandard_residues')").select("structure_id", "code")
+
+
+@query()
+def compared_structures(spark, sf):
+    e = view(spark, sf, "ensemble")
+    return reports.compare_structures(*(e.where(F.col("model_id") == m) for m in (1, 2)))
+
+
+@query()
+def pocket_texts(spark, sf):
+    """Text of the pocket of each structure's ligands."""
+    return reports.pocket_text(view(spark, sf, "atoms"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -214,6 +215,72 @@ def parse_cif(text: str) -> tuple[list[dict], dict]:
     return atoms, head
 
 
+def _is_number(text: str) -> bool:
+    try:
+        float(text)
+    except ValueError:
+        return False
+    return True
+
+
+def cif_findings(text: str, require_atoms: bool = True) -> list[str]:
+    """What is wrong with the _atom_site loops of a CIF text: missing columns, short rows, coordinates that are no numbers."""
+    tokens = list(cif_tokens(text))
+    out: list[str] = []
+    if not any(not quoted and t.lower().startswith("data_") for t, quoted in tokens):
+        out.append("no data block")
+    block, rows, i = "", 0, 0
+    while i < len(tokens):
+        tok, quoted = tokens[i]
+        i += 1
+        if quoted:
+            continue
+        if tok.lower().startswith("data_"):
+            block = tok[5:]
+        if tok.lower() != "loop_":
+            continue
+        names = list(takewhile(lambda t: t[0].startswith("_") and not t[1], tokens[i:]))
+        i += len(names)
+        values = list(takewhile(lambda t: t[1] or not re.match(r"(?i)_|loop_$|data_|stop_$|save_", t[0]), tokens[i:]))
+        i += len(values)
+        cols = [n[0].lower() for n in names]
+        if not cols or not cols[0].startswith("_atom_site."):
+            continue
+        missing = sorted({f"_atom_site.{c}" for c in ("cartn_x", "cartn_y", "cartn_z", "type_symbol")} - set(cols))
+        if missing:
+            out.append(f"block {block}: missing columns {', '.join(missing)}")
+            continue
+        if len(values) % len(cols):
+            out.append(f"block {block}: a row is cut short")
+        n = len(values) // len(cols)
+        rows += n
+        for c in ("_atom_site.cartn_x", "_atom_site.cartn_y", "_atom_site.cartn_z"):
+            for k, (v, _) in enumerate(values[cols.index(c) : n * len(cols) : len(cols)]):
+                if not _is_number(v):
+                    out.append(f"block {block}: row {k + 1}: {c} is {v!r}")
+    if require_atoms and not rows:
+        out.append("no atom-site rows")
+    return out
+
+
+def validate_cif(spark: SparkSession, path: str, require_atoms: bool = True) -> DataFrame:
+    """(source, valid, findings) of every .cif and .mmcif file under path."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for name, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    data = gzip.decompress(content) if name.endswith(".gz") else content
+                    found = cif_findings(data.decode("utf-8"), require_atoms)
+                except (OSError, ValueError) as e:
+                    found = [f"unreadable: {e}"]
+                out.append((name, not found, found))
+            yield pd.DataFrame(out, columns=["source", "valid", "findings"])
+
+    return _files(spark, path, "*.{cif,mmcif,cif.gz,mmcif.gz}").mapInPandas(run, "source string, valid boolean, findings array<string>")
+
+
 def _cif_atom(row: dict, k: int) -> dict:
     def get(*names):
         for n in names:
