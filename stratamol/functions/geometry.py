@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
-#: An end of a dihedral lies on the axis below this share of the axis's squared length: what is left is rounding.
+#: An end of a dihedral lies on the axis where its squared distance from it is below this share of the axis's squared length: the rest is rounding.
 ON_AXIS = 1e-20
 
 
@@ -52,10 +52,9 @@ def dihedral(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:
     """Signed degrees about the axis b-c; null where the axis has no length, 0 where an end lies on it."""
     b0, b1, b2 = sub(a, b), sub(c, b), sub(d, c)
     n2 = dot(b1, b1)
-    v = sub(b0, scale(b1, dot(b0, b1) / n2))
-    w = sub(b2, scale(b1, dot(b2, b1) / n2))
-    flat = F.least(dot(v, v), dot(w, w)) <= n2 * ON_AXIS
-    return F.when(n2 > 0, F.when(flat, 0.0).otherwise(F.degrees(F.atan2(dot(cross(b1, v), w) / F.sqrt(n2), dot(v, w)))))
+    m, n = cross(b1, b0), cross(b1, b2)  # normals: expressions are inlined, so short ones keep generated code small
+    flat = F.least(dot(m, m), dot(n, n)) <= n2 * n2 * ON_AXIS
+    return F.when(n2 > 0, F.when(flat, 0.0).otherwise(F.degrees(F.atan2(-F.sqrt(n2) * dot(b0, n), dot(m, n)))))
 
 
 def nearest_image(d: Vec, lengths: tuple[float, float, float]) -> Vec:

@@ -12,6 +12,11 @@ from .residues import representatives, with_residue_index
 from .spatial import KEY, contact_counts, pairs
 
 
+LARGEST_RADIUS = 1.76
+#: No bond is longer at the usual tolerance.
+BOND_REACH = 1.2 * 2 * LARGEST_RADIUS
+
+
 def geometry(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
     """(key, n_atoms, total_mass, c*, com_*, rg, dim_*, volume, compactness, ixx ... iyz) in one aggregation.
 
@@ -71,7 +76,7 @@ def distance_histogram(atoms: DataFrame, bins: int = 10, low: float = 0.0, high:
 def bonds(atoms: DataFrame, explicit: DataFrame | None = None, tolerance: float = 1.2, key: list[str] = KEY, cells: bool = False) -> DataFrame:
     """(key, i, j, d2, source): explicit bonds where a structure has any, else pairs under tolerance times their radii."""
     a = atoms.withColumn("radius", covalent_radius("element"))
-    p = pairs(a, tolerance * 2 * 1.76, key, cells, extra=["radius"])
+    p = pairs(a, tolerance * 2 * LARGEST_RADIUS, key, cells, extra=["radius"])
     near = F.sqrt("d2") < tolerance * (F.col("i_radius") + F.col("j_radius"))
     found = p.where(near).select(*key, "i", "j", "d2", F.lit("geometric").alias("source"))
     if explicit is None:
@@ -104,17 +109,33 @@ def salt_bridges(atoms: DataFrame, cutoff: float = 4.0, key: list[str] = KEY) ->
 
 
 def descriptors(atoms: DataFrame, elements=DEFAULT_ELEMENTS, bins: int = 10, high: float = 20.0, contact_cutoff: float = 5.0, residue_cutoff: float = 8.0, key: list[str] = KEY) -> DataFrame:
-    """One feature row for each structure; features without rows are 0."""
+    """One feature row for each structure; features without rows are 0.
+
+    All that comes from pairs of atoms is taken in one pass over them."""
     out = shape_descriptors(atoms, key).join(element_counts(atoms, elements, key), key)
-    hist = distance_histogram(atoms, bins, 0.0, high, key).groupBy(*key).pivot("bin", list(range(bins))).agg(F.first("n_pairs"))
-    hist = hist.select(*key, *(F.col(str(k)).alias(f"distance_hist_{k}") for k in range(bins)))
-    b = bond_summary(bonds(atoms, key=key), key)
-    c = contact_counts(atoms, contact_cutoff, key).select(*key, "n_contacts", F.col("density").alias("contact_density"))
-    r = representatives(atoms, "ca", key)
-    rc = contact_counts(r, residue_cutoff, key).select(*key, F.col("n_atoms").alias("n_residues"), F.col("n_contacts").alias("residue_contacts"), F.col("density").alias("residue_contact_density"))
-    for part in (hist, b, c, rc, polar_contacts(atoms, key=key), salt_bridges(atoms, key=key)):
-        out = out.join(part, key, "left")
-    return out.fillna(0)
+    out = out.join(_pair_features(atoms, bins, high, contact_cutoff, key), key, "left")
+    rc = contact_counts(representatives(atoms, "ca", key), residue_cutoff, key)
+    rc = rc.select(*key, F.col("n_atoms").alias("n_residues"), F.col("n_contacts").alias("residue_contacts"), F.col("density").alias("residue_contact_density"))
+    out = out.join(rc, key, "left").fillna(0)
+    n = F.col("n_atoms").cast("double")
+    return out.withColumn("contact_density", F.when(n > 1, F.col("n_contacts") / (n * (n - 1) / 2)).otherwise(0.0))
+
+
+def _pair_features(atoms: DataFrame, bins: int, high: float, contact_cutoff: float, key: list[str]) -> DataFrame:
+    """(key, distance_hist_*, bonds as in bond_summary(), n_contacts, n_polar, n_salt_bridges) of structures with near pairs."""
+    a = with_residue_index(atoms, key).withColumns({"radius": covalent_radius("element"), "polar": F.upper("element").isin("N", "O"), "sign": charge_sign(F.col("resname"), F.col("atom_name"))})
+    p = pairs(a, max(high, contact_cutoff, BOND_REACH, 4.0), key, extra=["residue_idx", "radius", "polar", "sign"], inclusive=True).withColumn("d", F.sqrt("d2"))
+    slot = F.when(F.col("d2") <= high * high, F.least(F.floor(F.col("d") / (high / bins)), F.lit(bins - 1)).cast("int"))
+    p = p.withColumns({
+        "slot": slot, "length": F.when(F.col("d") < 1.2 * (F.col("i_radius") + F.col("j_radius")), F.col("d")),
+        "near": F.col("d2") < contact_cutoff * contact_cutoff, "apart": F.col("i_residue_idx") != F.col("j_residue_idx"),
+        "bridge": F.when((F.col("d2") <= 16.0) & (F.col("i_sign") * F.col("j_sign") < 0), F.struct(F.least("i_residue_idx", "j_residue_idx").alias("a"), F.greatest("i_residue_idx", "j_residue_idx").alias("b"))),
+    })
+    polar = F.col("i_polar") & F.col("j_polar") & F.col("apart") & (F.col("d2") >= 6.25) & (F.col("d2") < 12.25)
+    return p.groupBy(*key).agg(
+        *(F.count_if(F.col("slot") == k).alias(f"distance_hist_{k}") for k in range(bins)), F.count("length").alias("n_bonds"), F.avg("length").alias("mean_length"), F.stddev_pop("length").alias("std_length"),
+        F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.count_if("near").alias("n_contacts"), F.count_if(polar).alias("n_polar"), F.size(F.collect_set("bridge")).cast("long").alias("n_salt_bridges"),
+    )
 
 
 def fit_scaler(df: DataFrame, features: list[str]) -> DataFrame:

@@ -394,10 +394,10 @@ def _dihedral_sql(source: str, points: tuple[str, str, str, str], name: str, kee
     def dots(p, q):
         return "(" + " + ".join(f"{name}_{p}{k} * {name}_{q}{k}" for k in "xyz") + ")"
 
-    out.append(f"{dots('v', 'v')} AS {name}_n, {dots('u', 'v')} / {name}_n AS {name}_s, {dots('w', 'v')} / {name}_n AS {name}_t")
-    out += [f"{name}_u{k} - {name}_v{k} * {name}_s AS {name}_p{k}, {name}_w{k} - {name}_v{k} * {name}_t AS {name}_q{k}" for k in "xyz"]
-    out += [f"{name}_v{i} * {name}_p{j} - {name}_v{j} * {name}_p{i} AS {name}_c{k}" for k, i, j in ("xyz", "yzx", "zxy")]
-    out.append(f"CASE WHEN {name}_n > 0 THEN CASE WHEN least({dots('p', 'p')}, {dots('q', 'q')}) <= {name}_n * {ON_AXIS!r} THEN 0.0 ELSE degrees(atan2({dots('c', 'q')} / sqrt({name}_n), {dots('p', 'q')})) END END AS {name}")
+    out.append(f"{dots('v', 'v')} AS {name}_n")
+    out += [f"{name}_v{i} * {name}_{q}{j} - {name}_v{j} * {name}_{q}{i} AS {name}_{p}{k}" for p, q in ("pu", "qw") for k, i, j in ("xyz", "yzx", "zxy")]
+    turn = f"degrees(atan2(-sqrt({name}_n) * {dots('u', 'q')}, {dots('p', 'q')}))"
+    out.append(f"CASE WHEN {name}_n > 0 THEN CASE WHEN least({dots('p', 'p')}, {dots('q', 'q')}) <= {name}_n * {name}_n * {ON_AXIS!r} THEN 0.0 ELSE {turn} END END AS {name}")
     return f"SELECT {keep}, {', '.join(out)} FROM {source}"
 
 
