@@ -54,7 +54,7 @@ def dihedral(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:
     n2 = dot(b1, b1)
     m, n = cross(b1, b0), cross(b1, b2)  # normals: expressions are inlined, so short ones keep generated code small
     flat = F.least(dot(m, m), dot(n, n)) <= n2 * n2 * ON_AXIS
-    return F.when(n2 > 0, F.when(flat, 0.0).otherwise(F.degrees(F.atan2(-F.sqrt(n2) * dot(b0, n), dot(m, n)))))
+    return F.when(n2 > 0, F.when(flat, 0.0).otherwise(F.degrees(F.atan2(F.lit(0.0) - F.sqrt(n2) * dot(b0, n), dot(m, n)))))
 
 
 def nearest_image(d: Vec, lengths: tuple[float, float, float]) -> Vec:

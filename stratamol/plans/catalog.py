@@ -396,7 +396,7 @@ def _dihedral_sql(source: str, points: tuple[str, str, str, str], name: str, kee
 
     out.append(f"{dots('v', 'v')} AS {name}_n")
     out += [f"{name}_v{i} * {name}_{q}{j} - {name}_v{j} * {name}_{q}{i} AS {name}_{p}{k}" for p, q in ("pu", "qw") for k, i, j in ("xyz", "yzx", "zxy")]
-    turn = f"degrees(atan2(-sqrt({name}_n) * {dots('u', 'q')}, {dots('p', 'q')}))"
+    turn = f"degrees(atan2(0.0::DOUBLE - sqrt({name}_n) * {dots('u', 'q')}, {dots('p', 'q')}))"
     out.append(f"CASE WHEN {name}_n > 0 THEN CASE WHEN least({dots('p', 'p')}, {dots('q', 'q')}) <= {name}_n * {name}_n * {ON_AXIS!r} THEN 0.0 ELSE {turn} END END AS {name}")
     return f"SELECT {keep}, {', '.join(out)} FROM {source}"
 
