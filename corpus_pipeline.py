@@ -10,6 +10,8 @@ from stratamol.llm import jaccard, mixing, packing, quality
 from stratamol.llm.common import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies: words of a shingle, least percentage of shared ones.
+NEAR = (5, 80)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +22,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id, once. Rows without an id all stay."""
-    groups = jaccard.jaccard_components(docs, 4, 85).where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each group of near copies: that of the least doc_id, once. Rows without an id all stay.
+
+    Near copies share 80 % of their five-word shingles (op7 keeps its own four words and 85 %)."""
+    groups = jaccard.jaccard_components(docs, *NEAR).where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.select(*COLUMNS).join(groups, "doc_id", "left_anti")
     again = F.row_number().over(W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
     return left.withColumn("again", again).where("again = 1 or doc_id is null").select(*COLUMNS)
