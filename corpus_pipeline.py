@@ -32,9 +32,9 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it has copies in it."""
-    mix = mixing.pareto_mix(docs.select(*COLUMNS)).where("copies > 0 and doc_id is not null").select("doc_id", "copies")
-    out = docs.select(*COLUMNS).join(mix, "doc_id")
+    """The mix: each row as often as it has copies in it, whatever its id."""
+    mix = mixing.pareto_mix(docs.select(*COLUMNS), carry=COLUMNS).where("copies > 0")
+    out = mix.select("copies", *(F.col(f"carry{k}").alias(c) for k, c in enumerate(COLUMNS)))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

@@ -47,17 +47,22 @@ def source_targets(sizes: DataFrame, weights=(1.0, 2.0, 3.0), most_copies: int =
     return s.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most_copies: int = 3, share: float = 1.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pareto_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most_copies: int = 3, share: float = 1.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of each row; the mix has `copies` copies of the row.
 
+    carry names further columns of docs to return with their rows, as carry0, carry1 and so on, whatever the rows' ids.
+
     Random numbers come from the key, seed and text, so reruns agree. Null text has size 0 and no effect; documents of
     size 0 get the certain copies only. A null source is a source of its own, last in order; a null id is a key like any
     other; repeated rows share a random number and are told apart by their order. Sources without words have target 0.
     Other columns, whatever their names, are ignored; an empty table gives an empty result."""
     kind = docs.schema[id_col].dataType.simpleString()
     rand = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("u"))), 1, 13), 16, 10).cast("double")
-    d = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), ((rand + 0.5) / float(1 << 52)).alias("u"))
-    d = materialise(d, "sizes")
+    cols = [F.col(id_col).cast(kind).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), ((rand + 0.5) / float(1 << 52)).alias("u")]
+    # rows are named by a written number, by which the carried columns, which no step in between reads, join again
+    d = materialise(docs.select(*cols, F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(f"carry{k}") for k, c in enumerate(carry))), "sizes")
+    carried = d.select(F.col("row").alias("of"), *(f"carry{k}" for k in range(len(carry))))
+    d = d.select("doc_id", "source", "size", "u", "row")
     rows = d.count()
     targets = materialise(source_targets(d, weights, most_copies, share).coalesce(1), "targets")
     targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -76,7 +81,7 @@ def pareto_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most_copies: int = 3, s
     cut = join_null_safe(by_bin, targets.select("source", "left"), ["source"])
     cut = cut.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("n") > F.col("left"))).select("source", F.col("bin").alias("cut"), F.col("before"))
     cut = cut.groupBy("source").agg(F.min("cut").alias("cut"), F.min_by("before", "cut").alias("before"))
-    d = materialise(join_null_safe(d, cut, ["source"], "left").withColumn("row", F.monotonically_increasing_id()), "ranked")
+    d = materialise(join_null_safe(d, cut, ["source"], "left"), "ranked")
     inside = d.where("bin = cut").withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0)))
     inside = inside.where("upto <= left").select("row", F.lit(True).alias("inside"))
     d = d.join(inside, "row", "left")
@@ -90,7 +95,8 @@ def pareto_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most_copies: int = 3, s
         pick = fit.where("size < 2 * gap").groupBy("source").agg(F.min(off)["row"].alias("row"))
         d = d.join(pick.select("row", F.lit(True).alias("pick")), "row", "left").withColumn("more", F.col("more") | F.col("pick").isNotNull()).drop("pick")
     copies = F.col("sure") + F.col("more").cast("int")
-    return d.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    out = d.select("row", "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return (out.join(carried, out["row"] == carried["of"]).drop("of") if carry else out).drop("row")
 
 
 def oracle(seed: int = 7) -> str:

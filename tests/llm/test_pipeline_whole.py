@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from stratamol.llm import mixing
 from test_jaccard import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -21,3 +22,19 @@ def test_near_copies_of_five_words(spark):
     assert {0, 10, 20, 21} <= want and not {1, 11} & want  # 0.802 and 0.810 in five words, 0.838 and 0.845 in four
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
     assert Counter(r["doc_id"] for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()) == dict.fromkeys(want, 1)
+
+
+def test_mix_keeps_rows_without_id_and_repeated_ids(spark):
+    ids = [None if i % 3 == 0 else i // 4 if i % 4 < 2 else i for i in range(240)]  # some ids stand twice, with other texts
+    rows = [(k, f"t{i} " * (1 + i % 13), "en", None if i % 5 == 0 else "ab"[i % 2], i) for i, k in enumerate(ids)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    of, n_words, taken = {(r[1], r[4]): r for r in rows}, {r[1]: len(r[1].split()) for r in rows}, Counter()
+    got = Counter(map(tuple, corpus_pipeline.mixing_stage(spark, docs, "").collect()))
+    assert all(of[r[1], r[4]] == r and n <= 3 for r, n in got.items())
+    for r, n in got.items():
+        taken[r[3]] += n * n_words[r[1]]
+    mix = mixing.pareto_mix(docs).collect()
+    assert sum(got.values()) == sum(r["copies"] for r in mix)
+    for r in mix:
+        assert abs(taken[r["source"]] - r["target"]) <= 13
+    assert any(r[0] is None for r in got)
