@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratamol.llm import jaccard, mixing, packing, quality
@@ -22,13 +21,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id, once. Rows without an id all stay.
-
-    Near copies share 80 % of their five-word shingles (op7 keeps its own four words and 85 %)."""
-    groups = jaccard.jaccard_components(docs, *NEAR).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(groups, "doc_id", "left_anti")
-    again = F.row_number().over(W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
-    return left.withColumn("again", again).where("again = 1 or doc_id is null").select(*COLUMNS)
+    """One row of each group of near copies: that of the least doc_id. Rows without an id all stay.
+
+    Near copies share 80 % of their five-word shingles (op7 keeps its own four words and 85 %). Groups are of rows: other
+    texts under a removed row's id stay. Rows without words are in no group; equal ones of one id stay once."""
+    rows = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.jaccard_components(rows, *NEAR, id_col="row").select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    named = rows.where("doc_id is not null").select("row", "doc_id", F.xxhash64("text").alias("h")).join(found, "row")
+    alone = F.col("n_shingles") == 0
+    group = [F.when(~alone, F.col("component_id")).alias("c"), F.when(alone, F.col("doc_id")).alias("i"), F.when(alone, F.col("h")).alias("t")]
+    kept = named.groupBy(*group).agg(F.min(F.struct("doc_id", "h", "row"))["row"].alias("row")).select("row", F.lit(True).alias("first"))
+    return rows.join(kept, "row", "left").where("first or doc_id is null").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

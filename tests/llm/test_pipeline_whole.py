@@ -38,3 +38,13 @@ def test_mix_keeps_rows_without_id_and_repeated_ids(spark):
     for r in mix:
         assert abs(taken[r["source"]] - r["target"]) <= 13
     assert any(r[0] is None for r in got)
+
+
+def test_near_copies_by_row(spark):
+    def text(g, changed=0):
+        return " ".join(f"new{g}x{i}" if i < changed else f"g{g}w{i}" for i in range(120))
+
+    rows = [(1, text(1)), (1, text(2)), (2, text(1, 2)), (2, text(3)), (3, text(4)), (3, text(4)), (4, None), (4, None), (5, " "), (None, text(3)), (None, text(5))]
+    want = [(1, text(1)), (1, text(2)), (2, text(3)), (3, text(4)), (4, None), (5, " "), (None, text(3)), (None, text(5))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3)
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()) == Counter(want)
