@@ -18,16 +18,46 @@ from .common import text_slices
 
 #: Rules as (host/path, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Hosts and paths from which the labelled table is made: each block word and each allow word in each form.
-BLOCK_WORDS = ("casino", "cheap-pills", "pills-online", "free-money", "spam-farm", "link-farm", "viagra", "poker-bonus", "lottery-win", "xxx-videos", "adult-cams", "adult-x", "adult-dating", "ads-track", "ads-banner", "click-track", "free-bets", "bets-online", "casino-win", "warez", "keygen", "malware", "phishing-login", "payday-loans", "replica-watches", "crypto-giveaway")
-ALLOW_WORDS = ("news", "library", "university", "museum", "science", "docs", "wiki", "archive", "weather", "garden", "recipes", "history", "travel", "school", "journal", "therha", "thether", "tionsh", "oration", "maison", "stadt", "ciudad", "thinore", "andhea", "reering", "ververein", "city-council", "open-data", "health", "music", "books", "maps", "sports", "hospital", "parliament", "research", "theatre", "cinema", "church", "bakery", "cycling", "railway", "energy", "ocean", "forest", "village", "thering", "thession", "heating", "lesoir", "unsere", "nuestra", "entreaux", "gesund", "colegio", "post-office", "farm-shop", "chess-club", "photo", "letters", "thand", "tieson", "ererth", "ndly", "whonst", "reation")
-FORMS = ("https://{}.example.org/en/{}", "http://www.{}.example.net/en/{}.html", "https://blog.{}.example.org/fr/{}?page=2&ref=x", "http://m.{}.example.info/es/{}/", "https://{}.example.net/de/{}#top", "http://{}.test/{}")
-SIZES, BUCKETS, PAD = (3, 4, 5), 1 << 13, 5
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled table: 1 for block."""
-    return [(form.format(word, 100 + 37 * k), label) for words, label in ((BLOCK_WORDS, 1), (ALLOW_WORDS, 0)) for k, word in enumerate(words) for form in FORMS]
+#: The labelled table's words. Unwanted: the categories of public block lists (gambling, medicines, adult, loans and prizes,
+#: piracy, malware, advertising). Wanted: institutions and subjects. Names are made of two words, or one, by rule.
+UNWANTED = (
+    "casino", "poker", "roulette", "blackjack", "jackpot", "slots", "bingo", "lotto", "betting", "bets", "pills", "viagra", "cialis", "steroids", "pharma", "weightloss",
+    "adult", "erotic", "nude", "escort", "webcam", "xxx", "porn", "sexy", "payday", "loans", "forex", "crypto", "prizes", "giveaway", "warez", "torrent", "keygen",
+    "cracked", "malware", "phishing", "spam", "spyware", "ads", "adserver", "banners", "popunder", "clicks", "affiliate", "replica", "cheap", "freebie", "discount",
+)
+WANTED = (
+    "library", "museum", "science", "archive", "weather", "garden", "recipes", "history", "travel", "school", "journal", "college", "council", "health", "music", "books",
+    "maps", "sports", "hospital", "parliament", "research", "theatre", "cinema", "church", "bakery", "cycling", "railway", "energy", "ocean", "forest", "village", "chess",
+    "letters", "photo", "physics", "biology", "poetry", "gallery", "harbour", "kitchen", "language", "lawyers", "market", "mountain", "orchestra", "painting", "radio",
+)
+TAILS = ("online", "world", "club", "shop", "zone", "daily", "network", "hub", "point", "centre", "house", "team", "plus", "now", "guide", "today")
+STARTS, VOWELS, ENDS = ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "st", "tr", "pl", "th", "sh"), ("a", "e", "i", "o", "u", "ea", "io"), ("", "n", "r", "l", "s", "nd", "th")
+FORMS = ("https://{}.org/en/{}", "http://www.{}.com/{}.html", "https://blog.{}.net/fr/{}?page=2&ref=x", "http://m.{}.info/es/{}/", "https://{}.co.uk/de/{}#top", "http://{}.example.com/{}", "https://www.{}.example.org/a/{}")
+#: Names of each word, and invented names for each of these.
+NAMES, INVENTED = 5, 6
+SIZES, BUCKETS = (3, 4, 5), 1 << 16
+
+
+def labelled_names() -> list[tuple[str, str, int]]:
+    """(name, its word, 1 for block): words alone and with a tail, and invented names of two or three syllables."""
+    out = []
+    for words, label in ((UNWANTED, 1), (WANTED, 0)):
+        for k, word in enumerate(words):
+            ends = ["", *(("-", "")[j % 2] + TAILS[(7 * k + 3 * j) % len(TAILS)] for j in range(NAMES - 1))]
+            out += [(word + e, word, label) for e in ends]
+    for k in range(INVENTED * len(WANTED)):
+        at, name = k, ""
+        for _ in range(2 + k % 2):
+            at = (at * 1103515245 + 12345) % (1 << 31)
+            name += STARTS[(at >> 16) % len(STARTS)] + VOWELS[(at >> 9) % len(VOWELS)] + ENDS[(at >> 4) % len(ENDS)]
+        out.append((name, name, 0))
+    return out
+
+
+def labelled_urls(names=None) -> list[tuple[str, int]]:
+    """The labelled table, two URLs for each name: 1 for block."""
+    names = labelled_names() if names is None else names
+    return [(FORMS[(k + j) % len(FORMS)].format(name, 100 + 37 * k), label) for k, (name, _, label) in enumerate(names) for j in (0, 3)]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -61,8 +91,12 @@ def features(data: np.ndarray, offsets: np.ndarray):
     return np.concatenate(out_d), np.concatenate(out_b)
 
 
+_DIGITS = str.maketrans("0123456789", "0" * 10)
+
+
 def _text(host: str, path: str) -> str:
-    return f"^{host}${path}$"
+    """What n-grams are taken of; digits count alike."""
+    return f"^{host}${path}$".translate(_DIGITS)
 
 
 class Model:
@@ -76,8 +110,9 @@ class Model:
         return np.bincount(d, self.weights[b], n) / np.sqrt(grams) + self.bias
 
 
-def train(labelled: list[tuple[str, int]], steps: int = 400, rate: float = 2.0, l2: float = 1e-3) -> Model:
-    """Full-batch gradient descent on the log loss; n-gram counts are scaled by the root of their number."""
+def train(labelled: list[tuple[str, int]], steps: int = 200, rate: float = 0.5, l2: float = 1e-5) -> Model:
+    """Full-batch AdaGrad on the log loss; n-gram counts are scaled by the root of their number. Without rows every score
+    is the same, below one half; one label only gives a model of this label."""
     texts = [_text(*split_url(u)) for u, _ in labelled]
     y = np.array([v for _, v in labelled], float)
     if not len(y):
@@ -86,11 +121,14 @@ def train(labelled: list[tuple[str, int]], steps: int = 400, rate: float = 2.0,
     d, b = features(data, offsets)
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(d, minlength=len(y))))
     w, bias = np.zeros(BUCKETS), 0.0
+    seen, seen_bias = np.full(BUCKETS, 1e-12), 1e-12
     for _ in range(steps):
         z = np.bincount(d, w[b], len(y)) * scale + bias
-        g = (1 / (1 + np.exp(-z)) - y) / len(y)
-        w -= rate * (np.bincount(b, (g * scale)[d], BUCKETS) + l2 * w)
-        bias -= rate * g.sum()
+        err = (1 / (1 + np.exp(-z)) - y) / len(y)
+        g = np.bincount(b, (err * scale)[d], BUCKETS) + l2 * w
+        seen, seen_bias = seen + g * g, seen_bias + err.sum() ** 2
+        w -= rate * g / np.sqrt(seen)
+        bias -= rate * err.sum() / np.sqrt(seen_bias)
     return Model(w, bias)
 
 
