@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -76,3 +77,14 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     other = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
     on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     return left.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with a number from 0 in the given order: ranges are sorted task by task and numbered from their counts."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    d = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__at", F.monotonically_increasing_id())
+    d = materialise(d, "ranges").withColumn("__part", F.shiftright("__at", 33))
+    counts = d.groupBy("__part").agg(F.count("*").alias("__n"))
+    # a row for each task
+    before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return d.join(before, "__part").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
