@@ -1,13 +1,13 @@
-"""Mixture-controlled packing: deficit round-robin over source queues, in closed form.
-
-Each source is a queue of its documents' tokens. In each round a queue is credited a quantum of window * share tokens,
-kept as a fixed-point number; it sends what its credit allows and carries the fraction as a deficit, through windows and
-partitions alike. After r rounds queue s has sent min(T_s, floor(r * Q_s / 2^16)) tokens, so the place of any token in the
-merged stream follows from its place in its queue and the totals of the queues: no task waits for another. The merged
-stream is cut at every multiple of the window; all sequences but the last are full.
-
-Every source has a queue. Up to QUEUES of them, the queues' totals go to all tasks, which compute places on their own. With
-more, the totals stay a table, and chunks are sorted by (round, queue) and placed by running sums; both give one stream.
+"""Mixture-controlled packing: deficit round-robin over source queues.
+
+Each source is a queue of its documents. In each round a queue is credited a quantum of window * share tokens, kept as a
+fixed-point number, and sends whole documents as long as its credit lasts; what is left is carried as its deficit, through
+windows, tasks and partitions alike. Credit never lapses while a queue has documents, so a document is sent in the first
+round by which the queue's credits reach the document's end in it: round ceil(end / quantum), which needs the queue's prefix
+sums only. The documents, sorted by (round, source, place in the queue), make one stream; places in it are running sums over
+sorted ranges. The stream is cut at every multiple of the window, so all sequences but the last are full, and a document is
+cut at these bounds alone. At the end of each round every queue that isn't empty has sent its credit but for less than its
+next document; queues that have run dry leave their part to the others, in proportion to their shares.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from .common import join_null_safe, materialise, text_slices
 
 WINDOW, END_ID, BITS = 2048, 1, 16
-#: Most queues whose totals go to the driver and to tasks; beyond, chunks are sorted instead.
-QUEUES = 1023
 #: Tokens for each task of the sort.
 TASK_TOKENS = 4_000_000
 #: Letters and marks on whose classes the two tokenizer libraries agree; other texts take the slower one.
@@ -95,28 +93,6 @@ def token_table(docs: DataFrame, path: str, ranks: str | None, end_id: int = END
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, source string, part int, before long, n long, ids binary")
 
 
-def round_of(q, token):
-    """The round in which a token of a queue with quantum q is sent."""
-    return (((token + 1) << BITS) - 1) // q
-
-
-def chunks(q, start, n):
-    """(document, round, first token, end) of what each round sends of documents at `start` in queues with quanta q."""
-    r0, r1 = round_of(q, start), round_of(q, start + n - 1)
-    dense = r1 - r0 < n
-    count = np.where(dense, r1 - r0 + 1, n)
-    doc = np.repeat(np.arange(len(n)), count)
-    step = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    r = np.where(dense[doc], r0[doc] + step, round_of(q[doc], start[doc] + step))
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (r[1:] != r[:-1])
-    doc, r = doc[new], r[new]
-    begin = np.maximum(r * q[doc] >> BITS, start[doc])
-    end = np.minimum((r + 1) * q[doc] >> BITS, start[doc] + n[doc])
-    some = end > begin
-    return doc[some], r[some], begin[some], end[some]
-
-
 def cut(place, length, window: int):
     """(chunk, offset in it, length, place) of chunks cut at the window bounds that they reach over."""
     cuts = (place + length - 1) // window - place // window + 1
@@ -128,38 +104,6 @@ def cut(place, length, window: int):
     return row, lo - place[row], hi - lo, lo
 
 
-class Rounds:
-    """The merged stream of queues with given totals and shares."""
-
-    def __init__(self, totals: list[int], shares: list[float], window: int):
-        self.t = np.array(totals, np.int64)
-        whole = sum(shares)
-        self.q = np.array([max(1, int(np.ceil(window * s / whole * (1 << BITS)))) for s in shares], np.int64)
-        self.window = window
-
-    def sent(self, r):
-        """Tokens of every queue sent in the first r rounds: a row for each r."""
-        return np.minimum(self.t, (r[:, None] * self.q) >> BITS)
-
-    def places(self, queue, r, most: int = 1 << 20):
-        """Where in the merged stream the chunks of (queue, round) begin, and the first token of each in its queue."""
-        place, first = np.empty(len(r), np.int64), np.empty(len(r), np.int64)
-        step = max(1, most // max(1, len(self.t)))
-        for a in range(0, len(r), step):
-            k, rr = queue[a : a + step], r[a : a + step]
-            now, after = self.sent(rr), self.sent(rr + 1)
-            place[a : a + step] = np.where(np.arange(len(self.t)) < k[:, None], after, now).sum(1)
-            first[a : a + step] = now[np.arange(len(k)), k]
-        return place, first
-
-    def pieces(self, queue, start, n):
-        """(document, start in it, length, place in the merged stream) of all pieces, in the documents' order."""
-        doc, r, begin, end = chunks(self.q[queue], start, n)
-        place, first = self.places(queue[doc], r)
-        row, off, length, lo = cut(place + (begin - first), end - begin, self.window)
-        return doc[row], (begin - start[doc])[row] + off, length, lo
-
-
 _PIECES = "source string, start long, length long, ids binary, doc_tokens long"
 
 
@@ -178,100 +122,61 @@ def _binary(ids, length):
     return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
 
-def _quanta(by_part: DataFrame, whole: int, shares: dict | None, window: int) -> DataFrame:
-    """(source, q) of all sources, as Rounds has them."""
+def _quanta(by_part: DataFrame, whole: int, shares: dict | None, power: float, window: int) -> DataFrame:
+    """(source, q): each source's tokens of credit for a round, in units of 2^-BITS."""
     s = by_part.groupBy("source").agg(F.sum("n").alias("total"))
-    given = F.lit(None).cast("double")
+    s = materialise(s.select("source", F.pow(F.col("total") / F.lit(float(whole or 1)), F.lit(float(power))).alias("own")), "totals")
+    share = F.col("own") / float(s.agg(F.sum(F.col("own").cast("decimal(38,18)"))).first()[0] or 1)  # decimals: reruns agree
     if shares:
         named = s.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "source string, given double")
-        s, given = join_null_safe(s, F.broadcast(named), ["source"], "left"), F.col("given")
-    s = s.select("source", F.greatest(F.coalesce(given, F.col("total") / F.lit(float(whole))), F.lit(1e-9)).alias("share"))
-    s = materialise(s, "shares")
-    # a sum of decimals has no order, so reruns agree
-    every = float(s.agg(F.sum(F.col("share").cast("decimal(38,18)"))).first()[0])
+        s, share = join_null_safe(s, named, ["source"], "left"), F.coalesce("given", share)
+    s = materialise(s.select("source", F.greatest(share, F.lit(1e-9)).alias("share")), "shares")
+    every = float(s.agg(F.sum(F.col("share").cast("decimal(38,18)"))).first()[0] or 1)
     return s.select("source", F.greatest(F.lit(1), F.ceil(F.lit(float(window)) * F.col("share") / F.lit(every) * float(1 << BITS))).cast("long").alias("q"))
 
 
-def _sorted_pieces(tokens: DataFrame, by_part: DataFrame, whole: int, shares: dict | None, window: int, kind: str) -> DataFrame:
-    """pack() for any number of queues: chunks in order of (round, source, token), their places by running sums."""
+def pack(docs: DataFrame, window: int = WINDOW, shares: dict | None = None, power: float = 1.0, path: str | None = None, ranks: str | None = None, end_id: int = END_ID, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """Pieces of all documents: (doc_id, source, start, length, ids, doc_tokens, sequence_id, offset).
+
+    ids: little-endian 32-bit ids. Target proportions: shares by source; sources that it lacks, or all without it, get
+    (source's tokens / all tokens) ** power, scaled to a sum of 1: at 1 the queues run dry together, below 1 small sources
+    come early. Every source has a queue. Null or empty text: the end id alone. A null source is a queue of its own, the
+    last of a round; repeated rows, also of one id, are documents of their own; a null id stays null. Queues are in the
+    order of tasks and rows. Other columns, whatever their names, are ignored; an empty table gives an empty result."""
+    path = path or tokenizer_path()
+    ranks = ranks or (tokenizer_path("byte_bpe_50k.tiktoken") if path == tokenizer_path() else None)
+    tokens = materialise(token_table(docs, path, ranks, end_id, id_col, text_col, source_col), "tokens")
+    by_part = materialise(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "parts")
+    whole = by_part.agg(F.sum("n")).first()[0] or 0
     base = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    based = join_null_safe(by_part.select("part", "source", base.alias("base")), _quanta(by_part, whole, shares, window), ["source"])
+    based = join_null_safe(by_part.select("part", "source", base.alias("base")), _quanta(by_part, whole, shares, power, window), ["source"])
     placed = join_null_safe(tokens, materialise(based, "bases"), ["part", "source"])
-
-    def chunked(batches):
-        for batch in batches:
-            for a in range(0, len(batch), 100):
-                b = batch.slice(a, 100)
-                n, q, base, before = _long(b, "n", "q", "base", "before")
-                doc, r, begin, end = chunks(q, base + before, n)
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("source").take(take), pa.array(begin - (base + before)[doc]), pa.array(end - begin), _binary(_ids(b, n), end - begin), pa.array(n[doc]), pa.array(r), pa.array(begin)], ["doc_id", "source", "start", "length", "ids", "doc_tokens", "round", "token"])
+    end = F.col("base") + F.col("before") + F.col("n")
+    # a whole quotient: the first round whose credits reach the end
+    turn = F.expr(f"(shiftleft(base + before + n, {BITS}) + q - 1) div q")
+    order = ["round", F.col("source").isNull(), "source", "end"]
+    placed = placed.select("doc_id", "source", "n", "ids", turn.alias("round"), end.alias("end"))
+    tasks = max(8, -(-whole // TASK_TOKENS))
+    ranges = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "source", "n", "ids")
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def summed(batches):
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            upto = at + np.cumsum(_long(b, "length")[0])
+            upto = at + np.cumsum(_long(b, "n")[0])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(b), pa.int32()), pa.array(np.concatenate(([at], upto))[:-1])], [*b.schema.names, "part", "before"])
             at = int(upto[-1]) if len(b) else at
 
     def windows(batches):
-        for b in batches:
-            n, start, before, base = _long(b, "length", "start", "before", "base")
-            row, off, length, place = cut(base + before, n, window)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("source").take(take), pa.array(start[row] + off), pa.array(length), _binary(_ids(b, n), length), b.column("doc_tokens").take(take), pa.array(place // window), pa.array(place % window)], ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    pieces = placed.select("doc_id", "source", "base", "before", "n", "ids", "q").mapInArrow(chunked, f"doc_id {kind}, {_PIECES}, round long, token long")
-    pieces = materialise(pieces, "pieces")
-    order = ["round", F.col("source").isNull(), "source", "token"]
-    tasks = max(8, -(-whole // TASK_TOKENS))
-    pieces = pieces.repartitionByRange(tasks, *order).sortWithinPartitions(*order).drop("round", "token")
-    pieces = materialise(pieces.mapInArrow(summed, f"doc_id {kind}, {_PIECES}, part int, before long"), "sorted")
-    at, bases = 0, []
-    for r in sorted(pieces.groupBy("part").agg(F.sum("length").alias("n")).collect()):
-        bases.append((r["part"], at))
-        at += r["n"]
-    bases = tokens.sparkSession.createDataFrame(bases, "part int, base long")
-    return pieces.join(F.broadcast(bases), "part").mapInArrow(windows, f"doc_id {kind}, {_PIECES}, sequence_id long, offset long")
-
-
-def pack(docs: DataFrame, window: int = WINDOW, shares: dict | None = None, path: str | None = None, ranks: str | None = None, end_id: int = END_ID, queues: int = QUEUES, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """Pieces of all documents: (doc_id, source, start, length, ids, doc_tokens, sequence_id, offset).
-
-    ids: little-endian 32-bit ids. shares: target proportions by source (default: each source's share of all tokens, so
-    that the queues run dry together; sources it lacks get their own share of tokens). Every source has a queue; with more
-    than `queues` of them tokens are shuffled, to the same result. A queue that is empty leaves its part of the window to
-    the others. Null or empty text: the end id alone. A null source is a queue of its own; repeated
-    rows, also of one id, are documents of their own; a null id stays null. Other columns, whatever their names, are
-    ignored; an empty table gives an empty result."""
-    path = path or tokenizer_path()
-    ranks = ranks or (tokenizer_path("byte_bpe_50k.tiktoken") if path == tokenizer_path() else None)
-    tokens = materialise(token_table(docs, path, ranks, end_id, id_col, text_col, source_col), "tokens")
-    by_part = materialise(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "parts")
-    sources = by_part.groupBy("source").agg(F.sum("n").alias("total")).limit(queues + 1).collect()
-    whole = by_part.agg(F.sum("n")).first()[0] or 0
-    kind = docs.schema[id_col].dataType.simpleString()
-    if len(sources) > queues:
-        return _sorted_pieces(tokens, by_part, whole, shares, window, kind)
-    own = [(r["source"], r["total"]) for r in sorted(sources, key=lambda r: (r["source"] is None, r["source"] or ""))]
-    given = [max(float((shares or {}).get(s, t / whole)), 1e-9) for s, t in own]
-    names = docs.sparkSession.createDataFrame([(s, k) for k, (s, _) in enumerate(own)], "source string, queue int")
-    based = join_null_safe(by_part, F.broadcast(names), ["source"])
-    earlier = W.partitionBy("queue").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)
-    based = based.select("part", "source", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    based = materialise(based, "bases")  # with a known size: Spark broadcasts it below its threshold and shuffles beyond
-    placed = join_null_safe(tokens, based, ["part", "source"])
-    plan = Rounds([t for _, t in own], given, window) if own else None
-
-    def run(batches):
         for batch in batches:
             for a in range(0, len(batch), 500):
                 b = batch.slice(a, 500)
-                n, queue, base, before = _long(b, "n", "queue", "base", "before")
-                doc, begin, length, place = plan.pieces(queue, base + before, n)
-                data = _binary(_ids(b, n), length)
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("source").take(take), pa.array(begin), pa.array(length), data, pa.array(n[doc]), pa.array(place // window), pa.array(place % window)], ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    cols = placed.select("doc_id", "source", "queue", "base", "before", "n", "ids")
-    return cols.mapInArrow(run, f"doc_id {kind}, {_PIECES}, sequence_id long, offset long")
+                n, before, base = _long(b, "n", "before", "base")
+                row, off, length, place = cut(base + before, n, window)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("source").take(take), pa.array(off), pa.array(length), _binary(_ids(b, n), length), pa.array(n[row]), pa.array(place // window), pa.array(place % window)], ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    ranges = materialise(ranges.mapInArrow(summed, f"doc_id {kind}, source string, n long, ids binary, part int, before long"), "ranges")
+    counts = ranges.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each task of the sort
+    bases = materialise(counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base")), "places")
+    return ranges.join(bases, "part").select("doc_id", "source", "n", "ids", "before", "base").mapInArrow(windows, f"doc_id {kind}, {_PIECES}, sequence_id long, offset long")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import chat, jaccard, licences, media, mixing, packing, quality, sharding, urls, wordpiece
 from .common import documents
 
+#: op3's target mixture: proportions of the root of each source's tokens.
+POWER = 0.5
 SAID = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -20,7 +22,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = packing.pack(documents(spark, sf_dir))
+    got = packing.pack(documents(spark, sf_dir), power=POWER)
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
