@@ -1,23 +1,26 @@
 """N-gram Jaccard join by prefix trees: exact links between texts whose shingle sets nearly agree, as components.
 
 1. Each text becomes a set of 64-bit shingle hashes; equal sets share one key and count once.
-2. Shingles are dealt by hash; those in one set only can't be shared. A set with fewer shared shingles than its
-   least possible overlap has no partner and drops out (an exact bound).
-3. The sets left are ordered globally, rarest shingle first. Sets that share a shingle of their prefixes form blocks;
-   two linked sets always do.
-4. Each block's sets go into a trie; a traversal shares partial overlaps and prunes subtrees by remaining length and by
-   what is known to be connected. In a large block every set is first held against a few pivots, which settles most of
-   a group of near copies in linear time; then chunks meet in pairs, but for chunks of one settled group.
-
-Keys and hashes have 64 bits; shared shingles are named by their hash partition and 40 further bits.
+2. Packs of sets deal their shingles by hash; a shingle that many sets of a pack have goes as one entry with its count, and
+   who has it stays with the pack. Counts come back to the packs. A shingle in one set only can't be shared; a set with
+   fewer shared shingles than its least possible overlap has no partner and drops out (an exact bound).
+3. The sets left are ordered by the shingles' frequency over all sets, rarest first. Sets that share a shingle of their
+   prefixes form blocks; two linked sets always do. Shingles of prefixes are combined task by task before they meet.
+4. Each block's sets go into a trie, in one order for the whole block, its most frequent shingles first, so that near copies
+   share long paths; a traversal shares partial overlaps and prunes subtrees by remaining length and by what is known to be
+   connected. In a large block every set is first held against a few pivots, which settles most of a group of near copies
+   in linear time; the rest is cut into chunks by length, and of these only those meet that share a shingle of their
+   prefixes, whose lengths allow a link, and which aren't settled together.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,8 +33,10 @@ from .components import connected_components
 BLOCK, CHUNK, PIVOTS = 1024, 512, 4
 #: Shingle occurrences for each hash partition.
 PER_PART = 4_000_000
-#: Occurrences that a task packs before it sends them.
-PACK = 2_000_000
+#: Occurrences that a task packs before it sends them; sets of a pack from which a shingle goes as one entry.
+PACK, MANY = 2_000_000, 8
+#: Copies of the rows that name a group of copies or links, so that its members meet them in several tasks.
+SALTS = 8
 
 
 def least_overlap(nx, ny, percent: int = 85):
@@ -68,136 +73,139 @@ def set_table(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, key long")
 
 
-_PACK = "part int, keys binary, counts binary, low binary, high binary, df binary"
+_PACK = "part int, pack long, keys binary, ns binary, tok binary, idx binary, many binary, counts binary"
+_NAMES = ["part", "pack", "keys", "ns", "tok", "idx", "many", "counts"]
+_EMPTY = np.zeros(0, np.uint64)
 
 
-def _rows(part, keys, counts, tok, df=None):
-    """A packed row: 8 bytes for each set, 2 for its count here (4 where one is larger), 5 for each shingle."""
-    wide = np.uint32 if counts.max(initial=0) > 65535 else np.uint16
-    return [int(part), keys.astype(np.int64).tobytes(), counts.astype(wide).tobytes(), (tok & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (tok >> np.uint64(32)).astype(np.uint8).tobytes(), b"" if df is None else df.astype(np.uint8).tobytes()]
+def _row(part, pack, keys=_EMPTY, ns=_EMPTY, tok=_EMPTY, idx=_EMPTY, many=_EMPTY, counts=_EMPTY):
+    kinds = (np.int64, np.int64, np.uint64, np.uint32, np.uint64, np.uint32)
+    return [int(part), int(pack), *(np.asarray(x).astype(k).tobytes() for x, k in zip((keys, ns, tok, idx, many, counts), kinds, strict=True))]
 
 
 def _batch(rows):
-    names = ["part", "keys", "counts", "low", "high", "df"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(6)], names)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], (pa.int32(), pa.int64())[i] if i < 2 else pa.binary()) for i in range(8)], _NAMES)
 
 
-def _unpack(table: pa.Table):
-    def joined(name, kind):
-        return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
+def _column(table, name, kind):
+    return [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
 
-    tok = joined("low", np.uint32).astype(np.uint64) | (joined("high", np.uint8).astype(np.uint64) << np.uint64(32))
-    counts = [np.frombuffer(c.as_py(), np.uint16 if 4 * len(c.as_py()) == len(k.as_py()) else np.uint32).astype(np.int64) for k, c in zip(table.column("keys"), table.column("counts"), strict=True)]
-    return joined("keys", np.int64), np.concatenate([np.zeros(0, np.int64), *counts]), tok, joined("df", np.uint8)
 
-
-def _once(keys, counts, tok):
-    """Each key's first entry only: copies bring the same shingles."""
-    _, first = np.unique(keys, return_index=True)
-    keep = np.zeros(len(keys), bool)
-    keep[first] = True
-    tok = tok[np.repeat(keep, counts)]
-    return keys[keep], counts[keep], tok
+def _joined_column(table, name, kind):
+    return np.concatenate([np.zeros(0, kind), *_column(table, name, kind)])
 
 
 def _dealt(docs, k, parts, id_col, text_col):
+    """Rows of packs. Of each pack a head: its sets' keys and sizes, and the shingles many of them have (many, counts, and
+    idx, their sets); and for each hash partition (tok, idx) with idx the set in the pack, and (many, counts)."""
+
     def run(batches):
-        held, size = [], 0
+        held, state = [], [0, 0]  # occurrences held, packs sent
 
         def sent():
             done = {}
             for key, h in held:
                 done.setdefault(key, h)
-            keys = np.fromiter(done, np.int64, len(done))
-            sets = list(done.values())
-            ns = np.array([len(h) for h in sets], np.int64)
-            h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
             held.clear()
-            order = np.argsort(part, kind="stable")
-            row = np.repeat(np.arange(len(sets), dtype=np.int32), ns)[order]
-            sets.clear()
-            tok, part = (h & np.uint64((1 << 40) - 1))[order], part[order]
+            if not done:
+                return
+            pack = (TaskContext.get().partitionId() << 24) + state[1]
+            state[0], state[1] = 0, state[1] + 1
+            keys, ns = np.fromiter(done, np.int64, len(done)), np.array([len(h) for h in done.values()], np.int64)
+            h = np.concatenate(list(done.values()))
+            done.clear()
+            order = np.argsort(h, kind="stable")
+            tok, idx = h[order], np.repeat(np.arange(len(ns), dtype=np.uint32), ns)[order]
             del h, order
-            edges = np.searchsorted(part, np.arange(parts + 1))
+            first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+            counts = np.diff(np.append(first, len(tok)))
+            often = counts >= MANY
+            apart = np.repeat(often, counts)
+            many, many_counts = tok[first[often]], counts[often]
+            yield _batch([_row(pack % parts, pack, keys, ns, _EMPTY, idx[apart], many, many_counts)])
+            tok, idx = tok[~apart], idx[~apart]
+            part = ((tok >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            tok, idx, part = tok[order], idx[order], part[order]
+            many_part = ((many >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(many_part, kind="stable")
+            many, many_counts, many_part = many[order], many_counts[order], many_part[order]
+            at, many_at = (np.searchsorted(x, np.arange(parts + 1)) for x in (part, many_part))
             for p in range(parts):
-                a, b = edges[p], edges[p + 1]
-                if b > a:
-                    which, counts = np.unique(row[a:b], return_counts=True)
-                    yield _batch([_rows(p, keys[which], counts, tok[a:b])])
+                a, b, c, d = at[p], at[p + 1], many_at[p], many_at[p + 1]
+                if b > a or d > c:
+                    yield _batch([_row(p, pack, _EMPTY, _EMPTY, tok[a:b], idx[a:b], many[c:d], many_counts[c:d])])
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 for h in shingle_sets(data, offsets, k):
                     if len(h) > 1:  # a single shingle links equal sets only
                         held.append((set_key(h), h))
-                        size += len(h)
-                if size >= PACK:
+                        state[0] += len(h)
+                if state[0] >= PACK:
                     yield from sent()
-                    held, size = [], 0
         yield from sent()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, _PACK)
 
 
-def _frequencies(tok: np.ndarray) -> np.ndarray:
-    """How often each value occurs, at most 255; of wide arrays only an order and a sorted copy."""
-    order = np.argsort(tok)
-    ordered = tok[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(tok) else np.zeros(0, np.int64)
-    del ordered
-    n = np.diff(np.append(first, len(tok)))
-    out = np.empty(len(tok), np.uint8)
-    out[order] = np.repeat(np.minimum(n, 255).astype(np.uint8), n)
-    return out
-
-
-def _shared(parts: int, buckets: int):
-    """In one hash partition: the shingles found in two sets at least, dealt on by set."""
-
-    def run(table: pa.Table) -> pa.Table:
-        p = table.column("part")[0].as_py()
-        keys, counts, tok = _once(*_unpack(table)[:3])
-        df = _frequencies(tok)
-        keep = df >= 2
-        row = np.repeat(np.arange(len(keys), dtype=np.int32), counts)[keep]
-        tok, df = tok[keep], df[keep]
-        bucket = (keys % buckets).astype(np.int32)[row]
-        order = np.argsort(bucket, kind="stable")
-        row, tok, df, bucket = row[order], tok[order], df[order], bucket[order]
-        edges, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
-        for q in range(buckets):
-            a, b = edges[q], edges[q + 1]
-            if b > a:
-                which, n = np.unique(row[a:b], return_counts=True)
-                rows.append(_rows(p * buckets + q, keys[which], n, tok[a:b], df[a:b]))
-        return pa.Table.from_batches([_batch(rows)])
-
-    return run
+def _shared(table: pa.Table) -> pa.Table:
+    """In one hash partition: every pack's shingles found in two sets at least, with their counts over all packs.
+
+    Equal sets of several packs count several times: that changes the order and the bound's sharpness, not the links."""
+    heads = [r for r in zip(*(table.column(n).to_pylist() for n in _NAMES), strict=True) if r[2]]
+    rows = [list(r) for r in heads]
+    table = table.filter(pa.array([not len(x.as_py()) for x in table.column("keys")]))
+    toks, idxs = _column(table, "tok", np.uint64), _column(table, "idx", np.uint32)
+    manys, counts = _column(table, "many", np.uint64), _column(table, "counts", np.uint32)
+    every = np.concatenate([_EMPTY, *toks, *manys])
+    weight = np.concatenate([np.ones(sum(map(len, toks)), np.int64), *counts])
+    order = np.argsort(every, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1]))) if len(every) else np.zeros(0, np.int64)
+    df = np.empty(len(every), np.int64)
+    if len(every):
+        df[order] = np.repeat(np.add.reduceat(weight[order], first), np.diff(np.append(first, len(every))))
+    df = np.minimum(df, (1 << 32) - 1)
+    at, many_at = 0, sum(map(len, toks))
+    for pack, tok, idx, many in zip(table.column("pack").to_pylist(), toks, idxs, manys, strict=True):
+        own, own_many = df[at : at + len(tok)], df[many_at : many_at + len(many)]
+        at, many_at = at + len(tok), many_at + len(many)
+        keep = own >= 2
+        # counts: of tok, then of many
+        rows.append(_row(0, pack, _EMPTY, _EMPTY, tok[keep], idx[keep], many, np.concatenate((own[keep], own_many))))
+    return pa.Table.from_batches([_batch(rows)])
 
 
 _SETS = "key long, n long, tokens binary, prefix int"
 
 
-def _candidates(buckets: int, percent: int):
-    """In one bucket of sets: those whose shared shingles can reach the least overlap, rarest first."""
+def _candidates(percent: int):
+    """In one pack: the sets whose shared shingles can reach the least overlap, rarest first."""
 
-    def run(table: pa.Table, sizes_of: pa.Table) -> pa.Table:
-        keys, counts, tok, df = _unpack(table)
-        part = np.array([p // buckets for p in table.column("part").to_pylist()], np.uint64)
-        sizes = np.array([len(x.as_py()) // 4 for x in table.column("low")], np.int64)
-        tok = tok | (np.repeat(part, sizes) << np.uint64(40))
-        row = np.repeat(keys, counts)
+    def run(table: pa.Table) -> pa.Table:
+        is_head = [bool(len(x.as_py())) for x in table.column("keys")]
+        head = table.filter(pa.array(is_head))
+        keys, ns = _joined_column(head, "keys", np.int64), _joined_column(head, "ns", np.int64)
+        table = table.filter(pa.array([not x for x in is_head]))
+        toks, idxs, manys, counts = (_column(table, n, k) for n, k in (("tok", np.uint64), ("idx", np.uint32), ("many", np.uint64), ("counts", np.uint32)))
+        tok, row = np.concatenate([_EMPTY, *toks]), np.concatenate([np.zeros(0, np.uint32), *idxs])
+        df = np.concatenate([np.zeros(0, np.uint32), *(c[: len(t)] for c, t in zip(counts, toks, strict=True))])
+        # the shingles that many sets of the pack have: their counts are here, who has them is in the head
+        many, many_df = np.concatenate([_EMPTY, *manys]), np.concatenate([np.zeros(0, np.uint32), *(c[len(t) :] for c, t in zip(counts, toks, strict=True))])
+        order = np.argsort(many)
+        own, own_n, who = _joined_column(head, "many", np.uint64), _joined_column(head, "counts", np.uint32), _joined_column(head, "idx", np.uint32)
+        if len(own):
+            own_df = many_df[order][np.searchsorted(many[order], own)]
+            tok, row, df = np.concatenate((tok, np.repeat(own, own_n))), np.concatenate((row, who)), np.concatenate((df, np.repeat(own_df, own_n)))
         order = np.lexsort((tok, df, row))
         row, tok = row[order], tok[order]
-        uniq, first = np.unique(row, return_index=True)
-        n_of = dict(zip(sizes_of.column("key").to_pylist(), sizes_of.column("n_shingles").to_pylist(), strict=True))
-        ends = np.append(first, len(row))[1:]
-        out = []
-        for key, a, b in zip(uniq.tolist(), first.tolist(), ends.tolist(), strict=True):
-            n, least = n_of[key], least_shared(n_of[key], percent)
+        sets, first = np.unique(row, return_index=True)
+        ends, out = np.append(first, len(row))[1:], []
+        for i, a, b in zip(sets.tolist(), first.tolist(), ends.tolist(), strict=True):
+            n = int(ns[i])
+            least = least_shared(n, percent)
             if b - a >= least:
-                out.append((key, n, tok[a:b].tobytes(), b - a - least + 1))
+                out.append((int(keys[i]), n, tok[a:b].tobytes(), b - a - least + 1))
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table({"key": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int64()), "tokens": pa.array(cols[2], pa.binary()), "prefix": pa.array(cols[3], pa.int32())})
 
@@ -205,10 +213,40 @@ def _candidates(buckets: int, percent: int):
 
 
 def _prefixes(batches):
+    """(key, token, low): of each shingle of the task's prefixes the least key, and (key, low) of the others that have it."""
+    keys, toks, size = [], [], 0
+
+    def sent():
+        key, tok = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *toks])
+        keys.clear()
+        toks.clear()
+        order = np.lexsort((key, tok))
+        key, tok = key[order], tok[order]
+        first = np.ones(len(tok), bool)
+        first[1:] = tok[1:] != tok[:-1]
+        low = key[first][np.cumsum(first) - 1] if len(key) else key
+        other = ~first & (key != low)
+        own, low = key[other], low[other]
+        order = np.lexsort((low, own))
+        own, low = own[order], low[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (low[1:] != low[:-1])
+        own, low, n = own[new], low[new], int(first.sum())
+        edge = np.arange(n + len(own)) >= n
+        a = pa.array(np.concatenate((key[first], own)))
+        b = pa.array(np.concatenate((tok[first], own)), mask=edge)
+        c = pa.array(np.concatenate((key[first], low)), mask=~edge)
+        return pa.RecordBatch.from_arrays([a, b, c], ["key", "token", "low"])
+
     for b in batches:
-        toks = [np.frombuffer(t.as_py(), np.int64)[:p] for t, p in zip(b.column(1), b.column(2).to_pylist(), strict=True)]
-        keys = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(t) for t in toks])
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64))], ["key", "token"])
+        for key, t, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            toks.append(np.frombuffer(t.as_py(), np.int64)[:p])
+            keys.append(np.full(p, key, np.int64))
+            size += p
+            if size >= PACK:
+                yield sent()
+                size = 0
+    yield sent()
 
 
 class Trie:
@@ -249,10 +287,11 @@ class Trie:
                 node[5] = min(self.nodes[c][5] for c in node[3])
 
 
-def trie_components(sizes: list[int], sets: list[np.ndarray], percent: int = 85, groups: list | None = None) -> list[int]:
+def trie_components(sizes: list[int], sets: list[np.ndarray], percent: int = 85, groups: list | None = None, sides: list[int] | None = None) -> list[int]:
     """Of each set the least index reachable by links. sets: shared shingles of each; sizes: with those in one set only.
 
-    groups: what is known to be connected already, None where nothing is."""
+    groups: what is known to be connected already, None where nothing is. sides: where given, 1 or 2 of each set, and only
+    sets of two sides are held against each other."""
     n = len(sets)
     if n < 2:
         return list(range(n))
@@ -279,6 +318,8 @@ def trie_components(sizes: list[int], sets: list[np.ndarray], percent: int = 85,
         if groups[at] is not None:
             parent[i] = first.setdefault(groups[at], i)
     nodes, uniform = trie.nodes, [-1] * len(trie.nodes)
+    side = [sides[at] for at in trie.order] if sides else None
+    seen = np.concatenate(([0], np.cumsum(np.array(side or [], np.int64) == 1)))
     runs = [frozenset(x[0]) for x in nodes]
     for i in range(n):
         x, nx = trie.paths[i], trie.sizes[i]
@@ -289,6 +330,8 @@ def trie_components(sizes: list[int], sets: list[np.ndarray], percent: int = 85,
             run, lo, hi, kids, rest, low = nodes[k]
             if hi <= i + 1:
                 continue
+            if side and (seen[hi] - seen[lo] == (hi - lo if side[i] == 1 else 0)):  # all on this set's side
+                continue
             if uniform[k] >= 0 and find(uniform[k]) == find(i):
                 continue
             if run:
@@ -325,8 +368,8 @@ def _joined(percent: int):
         order = np.argsort(keys, kind="stable")
         tokens, ns = table.column("tokens"), table.column("n").to_pylist()
         sets = [np.frombuffer(tokens[int(i)].as_py(), np.int64) for i in order]
-        groups = table.column("settled").to_pylist()
-        found = trie_components([ns[i] for i in order], sets, percent, [groups[i] for i in order])
+        groups, sides = table.column("settled").to_pylist(), table.column("side").to_pylist()
+        found = trie_components([ns[i] for i in order], sets, percent, [groups[i] for i in order], [sides[i] for i in order] if sides[0] else None)
         keys = keys[order]
         return pa.table({"key": pa.array(keys), "root": pa.array(keys[np.array(found, np.int64)])})
 
@@ -336,20 +379,22 @@ def _joined(percent: int):
 def key_components(docs: DataFrame, sets: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, component key) of the sets linked to a different set."""
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = buckets = max(8, -(-total // PER_PART))
+    parts, packs = max(8, -(-total // PER_PART)), max(8, -(-total // PACK))
     dealt = _dealt(docs, k, parts, id_col, text_col)
-    shared = dealt.groupBy("part").applyInArrow(_shared(parts, buckets), _PACK)
-    sized = sets.where("n_shingles > 1").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"))
-    sized = sized.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")).groupBy("bucket")
-    found = shared.withColumn("bucket", F.col("part") % buckets).groupBy("bucket").cogroup(sized).applyInArrow(_candidates(buckets, percent), _SETS)
-    found = materialise(found, "candidates")
-    edges = found.select("key", "tokens", "prefix").mapInArrow(_prefixes, "key long, token long")
-    low = edges.groupBy("token").agg(F.min("key").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = edges.join(low, "token").select("key", "low").where("key <> low").distinct()
+    shared = dealt.repartition(parts, "part").groupBy("part").applyInArrow(_shared, _PACK)
+    found = shared.repartition(packs, "pack").groupBy("pack").applyInArrow(_candidates(percent), _SETS)
+    found = materialise(found, "found")
+    # equal sets of several packs have the same shingles
+    edges = found.select("key", "tokens", "prefix").mapInArrow(_prefixes, "key long, token long, low long")
+    edges = materialise(edges, "prefixes")
+    low = edges.where("token is not null").groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").drop("most")
+    stars = edges.where("token is not null").join(low, "token").select("key", F.col("least").alias("low")).where("key <> low")
+    stars = stars.unionByName(edges.where("token is null").select("key", "low"))
     blocks = materialise(connected_components(stars, "key", "low").withColumnsRenamed({"node": "key", "component": "block"}), "blocks")
     sized = materialise(blocks.groupBy("block").agg(F.count("*").alias("members")), "sizes")
-    members = blocks.join(sized, "block").join(found.drop("prefix"), "key")
-    small = members.where(F.col("members") <= BLOCK).withColumn("settled", F.lit(None).cast("long"))
+    found = found.join(blocks.join(sized, "block"), "key").groupBy("key").agg(F.first("block").alias("block"), F.first("members").alias("members"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
+    members = materialise(found, "members")
+    small = members.where(F.col("members") <= BLOCK).withColumn("settled", F.lit(None).cast("long")).withColumn("side", F.lit(0)).drop("prefix")
     linked = small.groupBy("block").applyInArrow(_joined(percent), "key long, root long")
     linked = materialise(linked.where("key <> root"), "links")
     out = linked.select("key", F.col("root").alias("component")).unionByName(linked.select(F.col("root").alias("key"), F.col("root").alias("component")).distinct())
@@ -374,28 +419,43 @@ def _held(percent: int):
     return run
 
 
+def _tokens(batches):
+    for b in batches:
+        toks = [np.frombuffer(t.as_py(), np.int64)[:p] for t, p in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+        at = np.repeat(np.arange(len(toks)), [len(t) for t in toks])
+        pairs = pa.table({"block": b.column(0).take(pa.array(at)), "chunk": b.column(1).take(pa.array(at)), "token": pa.array(np.concatenate(toks) if toks else np.zeros(0, np.int64))})
+        yield from pairs.group_by(["block", "chunk", "token"]).aggregate([]).to_batches()
+
+
 def _large_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(key, component) in blocks (block, members, key, n, tokens) too large for one task.
+    """(key, component) in blocks (block, members, key, n, tokens, prefix) too large for one task.
 
-    Sets are salted by chunk against the block's pivots; links to them settle groups. Then pairs of chunks meet, leaving
-    out those of one settled group: where the pivots settle a group, its size counts once, not squared."""
+    Sets are salted by chunk against the block's pivots; links to them settle groups. Then pairs of chunks meet, chunks
+    being of one settled group and one range of lengths, if a prefix's shingle is in both and their lengths allow a link."""
     salts = F.ceil(F.col("members") / CHUNK).cast("int")
-    members = materialise(members.withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int")).withColumn("salts", salts), "members")
+    members = materialise(members.withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int")).withColumn("salts", salts), "large")
     picked = members.groupBy("block", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(PIVOTS)).alias("slot")).agg(F.min("key").alias("key"))
     pivots = members.join(picked.select("block", "key"), ["block", "key"]).select("block", F.col("key").alias("pivot"), F.col("n").alias("pn"), F.col("tokens").alias("ptokens"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     near = members.join(pivots, ["block", "salt"]).where("key <> pivot").select("key", "n", "tokens", "pivot", "pn", "ptokens")
     held = materialise(near.mapInArrow(_held(percent), "key long, root long"), "held")
     settled = materialise(connected_components(held, "key", "root").withColumnsRenamed({"node": "key", "component": "settled"}), "settled")
-    members = members.drop("salt", "salts").join(settled, "key", "left")
-    counts = members.groupBy("block", "settled").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    chunks = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    chunks = materialise(chunks.withColumn("chunk", F.row_number().over(W.partitionBy("block").orderBy("settled", "part"))), "chunks")
-    a = chunks.select("block", F.col("settled").alias("sa"), F.col("chunk").alias("p"))
-    b = chunks.select("block", F.col("settled").alias("sb"), F.col("chunk").alias("q"))
-    pairs = a.join(b, "block").where("p <= q and (sa is null or sb is null or sa <> sb)").select("block", "p", "q")
-    met = pairs.select("block", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("chunk"))
-    members = join_null_safe(members, chunks.select("block", "settled", "parts").distinct(), ["block", "settled"]).withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts")).cast("int"))
-    members = join_null_safe(members, chunks.select("block", "settled", "part", "chunk"), ["block", "settled", "part"])
+    members = members.drop("salt", "salts").join(settled, "key", "left").withColumn("span", F.floor(F.log("n") / F.lit(log(1.06))))
+    spans = members.groupBy("block", "settled", "span").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("pieces"), F.min("n").alias("least"), F.max("n").alias("most"))
+    members = join_null_safe(members, spans, ["block", "settled", "span"]).withColumn("piece", F.pmod(F.xxhash64("key", F.lit(5)), F.col("pieces")).cast("int"))
+    # a chunk is named by a hash of what makes it; two of one name would only meet as one
+    members = members.withColumn("chunk", F.xxhash64("block", F.coalesce(F.col("settled"), F.lit(0)), F.col("settled").isNull(), "span", "piece"))
+    members = materialise(members.drop("members", "span", "piece", "pieces"), "chunks")
+    kinds = members.groupBy("block", "chunk").agg(F.first("settled").alias("settled"), F.min("least").alias("least"), F.max("most").alias("most"))
+    shared = members.select("block", "chunk", "tokens", "prefix").mapInArrow(_tokens, "block long, chunk long, token long")
+    # chunks that have a prefix's shingle in common: as many for each as there are chunks, at most
+    common = shared.groupBy("block", "token").agg(F.array_sort(F.collect_set("chunk")).alias("of")).select("block", "of").distinct()
+    pairs = common.select("block", "of", F.explode("of").alias("p")).select("block", "p", F.explode(F.filter("of", lambda q: q >= F.col("p"))).alias("q")).distinct()
+    a = kinds.select("block", *(F.col(c).alias(f"{c}_p") for c in ("settled", "least", "most")), F.col("chunk").alias("p"))
+    b = kinds.select("block", *(F.col(c).alias(f"{c}_q") for c in ("settled", "least", "most")), F.col("chunk").alias("q"))
+    pairs = pairs.join(a, ["block", "p"]).join(b, ["block", "q"]).where("settled_p is null or settled_q is null or settled_p <> settled_q")
+    pairs = pairs.where((100 * F.col("most_p") >= percent * F.col("least_q")) & (100 * F.col("most_q") >= percent * F.col("least_p")))
+    both = F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("chunk"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("p").alias("chunk"), F.lit(1).alias("side")), F.struct(F.col("q").alias("chunk"), F.lit(2).alias("side"))))
+    met = pairs.select("block", "p", "q", F.explode(both).alias("x")).select("block", "p", "q", "x.chunk", "x.side")
     tasks = members.select("block", "chunk", "key", "n", "tokens", "settled").join(met, ["block", "chunk"])
     links = tasks.groupBy("block", "p", "q").applyInArrow(_joined(percent), "key long, root long")
     return connected_components(links.unionByName(held), "key", "root").select(F.col("node").alias("key"), "component")
@@ -409,11 +469,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     whatever their names, are ignored; an empty table gives an empty result."""
     sets = materialise(set_table(docs, k, id_col, text_col), "sets")
     linked = key_components(docs, sets, k, percent, id_col, text_col)
-    by_key = sets.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    by_key = by_key.join(linked, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    by_key = sets.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    by_key = by_key.join(linked, "key", "left").where("rows > 1 or component is not null").withColumn("component", F.coalesce("component", "key"))
+    by_key = materialise(by_key, "groups")
     least = by_key.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = by_key.join(least, "component").select("key", "component_id")
-    with_sets = sets.where("key <> 0").join(named, "key").select("doc_id", "n_shingles", "component_id")
+    # copies of one text meet their group's name in several tasks
+    named = by_key.join(least, "component").select("key", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = sets.where("key <> 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(named, ["key", "salt"], "left")
+    with_sets = salted.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return with_sets.unionByName(sets.where("key = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
