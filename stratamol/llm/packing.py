@@ -25,7 +25,7 @@ from .common import join_null_safe, materialise, text_slices
 
 WINDOW, END_ID, BITS = 2048, 1, 16
 #: Tokens for each task of the sort.
-TASK_TOKENS = 4_000_000
+TASK_TOKENS = 500_000_000
 #: Letters and marks on whose classes the two tokenizer libraries agree; other texts take the slower one.
 _PLAIN = re.compile("[\t\n\r -~¡-¬®-ɏ–—‘-”…]*")
 
@@ -70,11 +70,12 @@ def encoder(path: str, ranks: str | None) -> Encoder:
 
 
 def token_table(docs: DataFrame, path: str, ranks: str | None, end_id: int = END_ID, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """(doc_id, source, part, before, n, ids): ids as little-endian 16 or 32 bits (by the vocabulary's size), and how many
-    tokens of its source stand before the row in its task."""
+    """(doc_id, source, part, row, before, n, ids): ids as little-endian 16 or 32 bits (by the vocabulary's size), the row's
+    number (tasks apart) and how many tokens of its source stand before it in its task."""
 
     def run(batches):
         enc, before, part = encoder(path, ranks), {}, TaskContext.get().partitionId()
+        row = part << 40
         kind = np.uint16 if enc.slow.get_vocab_size() <= 1 << 16 else np.uint32
         for batch in batches:
             ids, sources = batch.column(0), batch.column(1).to_pylist()
@@ -87,10 +88,11 @@ def token_table(docs: DataFrame, path: str, ranks: str | None, end_id: int = END
                     before[s] = at[-1] + len(x)
                     ns.append(len(x))
                     out.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([part] * len(ns), pa.int32()), pa.array(at, pa.int64()), pa.array(ns, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "source", "part", "before", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([part] * len(ns), pa.int32()), pa.array(range(row, row + len(ns)), pa.int64()), pa.array(at, pa.int64()), pa.array(ns, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "source", "part", "row", "before", "n", "ids"])
+                row += len(ns)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, source string, part int, before long, n long, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, source string, part int, row long, before long, n long, ids binary")
 
 
 def cut(place, length, window: int):
@@ -150,14 +152,14 @@ def pack(docs: DataFrame, window: int = WINDOW, shares: dict | None = None, powe
     whole = by_part.agg(F.sum("n")).first()[0] or 0
     base = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     based = join_null_safe(by_part.select("part", "source", base.alias("base")), _quanta(by_part, whole, shares, power, window), ["source"])
-    placed = join_null_safe(tokens, materialise(based, "bases"), ["part", "source"])
+    placed = join_null_safe(tokens.select("part", "source", "row", "before", "n"), materialise(based, "bases"), ["part", "source"])
     end = F.col("base") + F.col("before") + F.col("n")
     # a whole quotient: the first round whose credits reach the end
     turn = F.expr(f"(shiftleft(base + before + n, {BITS}) + q - 1) div q")
     order = ["round", F.col("source").isNull(), "source", "end"]
-    placed = placed.select("doc_id", "source", "n", "ids", turn.alias("round"), end.alias("end"))
+    # only the documents' lengths are sorted, not their tokens
     tasks = max(8, -(-whole // TASK_TOKENS))
-    ranges = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "source", "n", "ids")
+    ranges = placed.select("source", "row", "n", turn.alias("round"), end.alias("end")).repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("row", "n")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def summed(batches):
@@ -171,12 +173,13 @@ def pack(docs: DataFrame, window: int = WINDOW, shares: dict | None = None, powe
         for batch in batches:
             for a in range(0, len(batch), 500):
                 b = batch.slice(a, 500)
-                n, before, base = _long(b, "n", "before", "base")
-                row, off, length, place = cut(base + before, n, window)
+                n, place = _long(b, "n", "place")
+                row, off, length, place = cut(place, n, window)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("source").take(take), pa.array(off), pa.array(length), _binary(_ids(b, n), length), pa.array(n[row]), pa.array(place // window), pa.array(place % window)], ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    ranges = materialise(ranges.mapInArrow(summed, f"doc_id {kind}, source string, n long, ids binary, part int, before long"), "ranges")
+    ranges = materialise(ranges.mapInArrow(summed, "row long, n long, part int, before long"), "ranges")
     counts = ranges.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each task of the sort
-    bases = materialise(counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base")), "places")
-    return ranges.join(bases, "part").select("doc_id", "source", "n", "ids", "before", "base").mapInArrow(windows, f"doc_id {kind}, {_PIECES}, sequence_id long, offset long")
+    bases = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
+    places = materialise(ranges.join(bases, "part").select("row", (F.col("base") + F.col("before")).alias("place")), "places")
+    return tokens.join(places, "row").select("doc_id", "source", "n", "ids", "place").mapInArrow(windows, f"doc_id {kind}, {_PIECES}, sequence_id long, offset long")
