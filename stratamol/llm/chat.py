@@ -96,8 +96,13 @@ def format_conversations(conv: DataFrame, id_col: str = "conv_id", turn_col: str
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kind}, {_TURNS}")
 
 
-def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """Reads format_conversations()'s rows back: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
+def conversation_digests(formatted: DataFrame, in_order: bool = False) -> DataFrame:
+    """Reads format_conversations()'s rows back: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars).
+
+    Rows are brought together by conv_id and sorted by position, however they were written or split; in_order says that
+    they still are as format_conversations() gave them. A null conv_id is a conversation of its own; rows stream through,
+    so that a conversation of any length needs bounded memory; repeated rows, or a position that lacks, raise GrammarError;
+    other columns, whatever their names, are ignored; an empty table gives an empty result."""
 
     def run(batches):
         now, state = None, None
@@ -114,10 +119,12 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             done, first = [], batch.schema.field(0).type
             for c, written, begin, end, position in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "formatted", "loss_start", "loss_end", "position")), strict=True):
+                if position != (0 if state is None or c != now else state[5]):
+                    raise GrammarError(f"position {position} of conversation {c} out of place")
                 if position == 0:
                     if state:
                         done.append(row())
-                    now, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
                 for role, text, _, _ in parse(written):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
@@ -126,12 +133,16 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
                     state[2] += len(own)
                     state[3].update(own.encode())
                 state[4] += len(written)
+                state[5] += 1
             if done:
                 yield batch_of(done)
         if state:
             yield batch_of([row()])
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
+    formatted = formatted.select("conv_id", "position", "formatted", "loss_start", "loss_end")
+    if not in_order:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "position")
     return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

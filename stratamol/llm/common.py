@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _MADE: list[str] = []
+_JVM: list = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a temporary one in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="stratamol-")
@@ -31,20 +34,39 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a Parquet table in the shared folder, so that lost executors can reread it."""
+    """Cuts lineage with a Parquet table in the shared folder, so that lost executors can reread it.
+
+    What is written stays until release(), or until the Python process ends."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/stratamol-{uuid.uuid4().hex}/{name}"
+    if not _JVM:
+        _JVM.extend((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()))
+        atexit.register(release)
     _MADE.append(path.rsplit("/", 1)[0])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what materialise() has written so far: call it once results that build on it are written."""
-    jvm = spark.sparkContext._jvm
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def mark() -> int:
+    """How many tables materialise() has written and nothing has released: for release()."""
+    return len(_MADE)
+
+
+def release(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes what materialise() has written since mark(), but for the table that keep reads.
+
+    Call it once what builds on these tables is written; frames that still read them fail."""
+    kept = {x.rsplit("/", 2)[0] for x in keep.inputFiles()} if keep is not None else set()
+    stay = []
+    while len(_MADE) > since:
+        made = _MADE.pop()
+        if any(x.endswith(made.rsplit("/", 1)[1]) for x in kept):
+            stay.append(made)
+            continue
+        jvm, conf = _JVM
+        path = jvm.org.apache.hadoop.fs.Path(made)
+        path.getFileSystem(conf).delete(path, True)
+    _MADE.extend(stay)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

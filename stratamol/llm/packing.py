@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import join_null_safe, materialise, text_slices
 
 WINDOW, END_ID, BITS = 2048, 1, 16
-#: Tokens for each task of the sort.
-TASK_TOKENS = 500_000_000
+#: Documents for each task of the sort.
+TASK_ROWS = 1_000_000
 #: Letters and marks on whose classes the two tokenizer libraries agree; other texts take the slower one.
 _PLAIN = re.compile("[\t\n\r -~¡-¬®-ɏ–—‘-”…]*")
 
@@ -148,8 +148,8 @@ def pack(docs: DataFrame, window: int = WINDOW, shares: dict | None = None, powe
     path = path or tokenizer_path()
     ranks = ranks or (tokenizer_path("byte_bpe_50k.tiktoken") if path == tokenizer_path() else None)
     tokens = materialise(token_table(docs, path, ranks, end_id, id_col, text_col, source_col), "tokens")
-    by_part = materialise(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "parts")
-    whole = by_part.agg(F.sum("n")).first()[0] or 0
+    by_part = materialise(tokens.groupBy("part", "source").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "parts")
+    whole, rows = (x or 0 for x in by_part.agg(F.sum("n"), F.sum("rows")).first())
     base = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     based = join_null_safe(by_part.select("part", "source", base.alias("base")), _quanta(by_part, whole, shares, power, window), ["source"])
     placed = join_null_safe(tokens.select("part", "source", "row", "before", "n"), materialise(based, "bases"), ["part", "source"])
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, window: int = WINDOW, shares: dict | None = None, powe
     turn = F.expr(f"(shiftleft(base + before + n, {BITS}) + q - 1) div q")
     order = ["round", F.col("source").isNull(), "source", "end"]
     # only the documents' lengths are sorted, not their tokens
-    tasks = max(8, -(-whole // TASK_TOKENS))
+    tasks = max(8, -(-rows // TASK_ROWS))
     ranges = placed.select("source", "row", "n", turn.alias("round"), end.alias("end")).repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("row", "n")
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -165,9 +165,10 @@ def _columns(st):
 def train_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
     """Trees fitted on about max_labelled labelled documents at most (all, where there are fewer); None without any.
 
-    The documents are those whose ids' hash falls under a bound, so that the sample has no order. Base-failed documents
-    don't count, as they never reach the trees."""
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    labels: (doc_id, quality), 0 or 1; null ids, other values and ids with both labels don't count. The documents are those
+    whose ids' hash falls under a bound, so that the sample has no order. Base-failed documents don't count, as they never
+    reach the trees. Null texts are base-failed; documents that share an id count each; other columns are ignored."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     n = labels.count()
     if n > 0.95 * max_labelled:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * 0.95 * max_labelled / n))

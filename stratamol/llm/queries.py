@@ -50,7 +50,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)], "conv_id long, turn long, role string, text string")
-    return chat.conversation_digests(chat.format_conversations(conv.unionByName(own)))
+    return chat.conversation_digests(chat.format_conversations(conv.unionByName(own)), in_order=True)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

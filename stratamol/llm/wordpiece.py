@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from .common import text_slices
 
-#: Distinct words whose counts a task keeps.
-CACHE = 400_000
+#: Bytes of the words whose counts a task keeps, and of the longest of them.
+CACHE, LONGEST = 8_000_000, 64
 
 
 class Automaton:
+    """The trie of pieces with its links. Without pieces every character counts as its bytes; empty and repeated pieces have
+    no effect; an empty word with an empty mark has no pieces."""
+
     def __init__(self, pieces, mark: str = ""):
         self.mark = mark
         self.edges: list[dict] = [{}]
@@ -75,12 +78,16 @@ class Automaton:
 class Counts(dict):
     def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.held = automaton, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        n = self[word] = self.automaton.count(word.decode())
+        n = self.automaton.count(word.decode())
+        if len(word) <= LONGEST:
+            if self.held >= CACHE:
+                self.clear()
+                self.held = 0
+            self[word] = n
+            self.held += len(word)
         return n
 
 

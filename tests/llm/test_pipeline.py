@@ -3,11 +3,15 @@
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from stratamol.llm import mixing, quality
+from stratamol.llm import quality
+from test_forms import walked
 from test_jaccard import brute
+from test_mixing import walk
+from test_ops import WORD
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the tables")
@@ -32,7 +36,18 @@ def test_names_and_columns(stages):
 def test_quality_stage(spark, stages):
     docs, kept = stages[0], {r["doc_id"] for r in stages[1].collect()}
     trees = quality.train_rules(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    assert kept == {r["doc_id"] for r in quality.quality_rules(docs, trees).where("kept").collect()}
+    want = set()
+    for r in docs.collect():  # counted and walked one by one
+        w = WORD.findall(r["text"] or "")
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        rep = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        if len(w) < 50 or 2 * len(rep) > len(w):
+            continue
+        raw = np.frombuffer(r["text"].encode(), np.uint8)
+        st = quality.statistics(raw, np.array([0, len(raw)]))
+        if walked(trees, [float(st[f][0]) for f in quality.FEATURES]) >= 0:
+            want.add(r["doc_id"])
+    assert kept == want
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     words = {r["doc_id"]: len((r["text"] or "").split()) for r in docs.collect()}
     good = [i for i, q in labels.items() if q == 1 and words[i] >= 50]
@@ -46,7 +61,7 @@ def test_jaccard_stage(stages):
 
 
 def test_mixing_stage(stages):
-    copies = {r["doc_id"]: r["copies"] for r in mixing.pareto_mix(stages[2]).collect() if r["copies"]}
+    copies = {i: n for _, i, _, n in walk([(r["doc_id"], r["text"], r["source"]) for r in stages[2].collect()]) if n}
     assert Counter(r["doc_id"] for r in stages[3].collect()) == copies
 
 
