@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamol.llm import jaccard, mixing, packing, quality
-from stratamol.llm.common import materialise
+from stratamol.llm.common import mark, materialise, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies: words of a shingle, least percentage of shared ones.
@@ -14,7 +14,10 @@ NEAR = (5, 80)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The trees are trained on the labelled ones among docs."""
+    """Documents that the quality rules keep. The trees are trained on the labelled ones among docs.
+
+    Rows are judged one by one, also without an id or with a repeated one. Null, empty and wordless texts go (under 50
+    words); without labels only the base rules decide; an empty table gives an empty result; further columns are dropped."""
     trees = quality.train_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     got = quality.quality_rules(docs, trees, carry=COLUMNS).where("kept")
     return got.select(*(F.col(f"carry{k}").alias(c) for k, c in enumerate(COLUMNS)))
@@ -24,7 +27,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One row of each group of near copies: that of the least doc_id. Rows without an id all stay.
 
     Near copies share 80 % of their five-word shingles (op7 keeps its own four words and 85 %). Groups are of rows: other
-    texts under a removed row's id stay. Rows without words are in no group; equal ones of one id stay once."""
+    texts under a removed row's id stay. Rows without words are in no group; equal ones of one id stay once. An empty table
+    gives an empty result; further columns are dropped."""
     rows = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
     found = jaccard.jaccard_components(rows, *NEAR, id_col="row").select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
     named = rows.where("doc_id is not null").select("row", "doc_id", F.xxhash64("text").alias("h")).join(found, "row")
@@ -35,14 +39,20 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each row as often as it has copies in it, whatever its id."""
+    """The mix: each row as often as it has copies in it, whatever its id, which may lack or repeat.
+
+    A null source is a source of its own. Rows that the mix has no copy of go, those without words among them where their
+    source has less than one copy of each. An empty table gives an empty result; further columns are dropped."""
     mix = mixing.pareto_mix(docs.select(*COLUMNS), carry=COLUMNS).where("copies > 0")
     out = mix.select("copies", *(F.col(f"carry{k}").alias(c) for k, c in enumerate(COLUMNS)))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of 2,048 tokens."""
+    """Pieces of the mixed documents in sequences of 2,048 tokens, sources in the proportions that the mix gave them.
+
+    Every row is packed, also one without an id, a text or a source; copies are documents of their own. An empty table
+    gives an empty result."""
     got = packing.pack(docs)
     return got.select("doc_id", "source", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -55,8 +65,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (_, stage) in enumerate(STAGES):
+        since = mark()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage{k}")
+            # what the stage and the last one wrote has served
+            release(since if before is None else before, keep=docs)
+            before = mark() - 1
     return docs
