@@ -28,7 +28,13 @@ BACKBONE = f"""SELECT structure_id, CAST(k AS INT) AS atom_idx, CASE k % 4 WHEN
 POSES = f"""SELECT l_partkey AS ligand, l_linestatus AS source, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY {_TIES}) AS INT) AS pose_id, l_orderkey, l_linenumber, l_suppkey, l_shipdate,
   l_extendedprice AS energy, l_discount AS cnnscore, CAST(l_quantity AS INT) AS heavy FROM {{lineitem}}"""
 
-VIEWS = {"atoms": ATOMS, "ensemble": ENSEMBLE, "backbone": BACKBONE, "poses": POSES}
+#: Larger structures, some hundred atoms each: residues of five atoms, three chains, insertion codes.
+CHAINS = f"""SELECT structure_id, CAST(k AS INT) AS atom_idx, CASE k % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'CA' WHEN 2 THEN 'C' WHEN 3 THEN 'O' ELSE 'CB' END AS atom_name, CASE k % 5 WHEN 0 THEN 'N' WHEN 3 THEN 'O' ELSE 'C' END AS element,
+  CAST(r + 1 AS INT) AS resid, {case_sql("(r * 3 + structure_id) % 7", _RESIDUES, "UNK")} AS resname, CASE WHEN r % 7 = 3 THEN 'A' ELSE '' END AS icode, CASE WHEN k < 250 THEN 'A' WHEN k < 450 THEN 'B' ELSE 'C' END AS chain,
+  (r * 3 + structure_id) % 7 >= 5 AS hetero, x, y, z FROM (SELECT *, CAST((k - k % 5) / 5 AS INT) AS r FROM (SELECT l_suppkey AS structure_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_TIES}) - 1 AS k,
+  l_partkey % 997 / 20 AS x, l_orderkey % 1009 / 25 AS y, CAST(l_quantity AS DOUBLE) AS z FROM {{lineitem}}) t) u"""
+
+VIEWS = {"chains": CHAINS, "atoms": ATOMS, "ensemble": ENSEMBLE, "backbone": BACKBONE, "poses": POSES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -418,15 +418,25 @@ def _files(spark: SparkSession, paths, pattern: str | None) -> DataFrame:
     return r.load(paths if isinstance(paths, list) else [paths]).select("path", "content")
 
 
-def read_atoms(spark: SparkSession, paths, altloc: str = "primary", on_error: str = "row", pattern: str | None = None) -> DataFrame:
-    """All atoms of all models of all files under paths (.pdb, .ent, .xyz, .cif, .mmcif, .sdf, .mol, also .gz)."""
+def written(texts: DataFrame, kind: str, key: str = "structure_id") -> DataFrame:
+    """(path, content) of (key, text), as if each text were a file of that kind named by its key."""
+    return texts.select(F.concat(F.col(key).cast("string"), F.lit(f".{kind}")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+def read_folders(spark: SparkSession, path: str, key: str = "structure_id") -> DataFrame:
+    """(key, text) of a folder of text for each key, as writers.write_texts() leaves it."""
+    return spark.read.text(path, wholetext=True).select(F.col(key).cast("string").alias(key), F.col("value").alias("text"))
+
+
+def atoms_of(files: DataFrame, altloc: str = "primary", on_error: str = "row") -> DataFrame:
+    """All atoms of (path, content) rows; a file that can't be read is a row with its error, or raises."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for path, content in zip(pdf.path, pdf.content, strict=True):
                 try:
-                    atoms, _, _ = parse_file(path, content, altloc)
+                    atoms, _, _ = parse_file(path, bytes(content), altloc)
                     out += [[stem(path), *(a.get(f) for f in ATOM_FIELDS[1:-1]), None] for a in atoms]
                 except (FormatError, ValueError) as e:
                     if on_error == "raise":
@@ -434,46 +444,63 @@ def read_atoms(spark: SparkSession, paths, altloc: str = "primary", on_error: st
                     out.append([stem(path), *[None] * (len(ATOM_FIELDS) - 2), str(e)])
             yield pd.DataFrame(out, columns=ATOM_FIELDS).astype({c: "Int32" for c in ("model_id", "atom_idx", "serial", "resid", "formal_charge")} | {"hetero": "boolean"})
 
-    return _files(spark, paths, pattern).mapInPandas(run, ATOM_SCHEMA)
+    return files.mapInPandas(run, ATOM_SCHEMA)
 
 
-def read_bonds(spark: SparkSession, paths, altloc: str = "primary", pattern: str | None = None) -> DataFrame:
-    """Bonds that files state: CONECT records and bond blocks."""
+def read_atoms(spark: SparkSession, paths, altloc: str = "primary", on_error: str = "row", pattern: str | None = None) -> DataFrame:
+    """All atoms of all models of all files under paths (.pdb, .ent, .xyz, .cif, .mmcif, .sdf, .mol, also .gz)."""
+    return atoms_of(_files(spark, paths, pattern), altloc, on_error)
+
+
+def bonds_of(files: DataFrame, altloc: str = "primary") -> DataFrame:
+    """Bonds that (path, content) rows state; those that can't be read state none, and atoms_of() says why."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for path, content in zip(pdf.path, pdf.content, strict=True):
                 try:
-                    out += [[stem(path), *b] for b in parse_file(path, content, altloc)[1]]
+                    out += [[stem(path), *b] for b in parse_file(path, bytes(content), altloc)[1]]
                 except (FormatError, ValueError):
                     continue
             yield pd.DataFrame(out, columns=["structure_id", "model_id", "i", "j", "bond_order", "source"])
 
-    return _files(spark, paths, pattern).mapInPandas(run, BOND_SCHEMA)
+    return files.mapInPandas(run, BOND_SCHEMA)
 
 
-POSE_SCHEMA = "source string, pose_id int, name string, n_atoms int, n_heavy int, properties map<string,string>, block string"
+def read_bonds(spark: SparkSession, paths, altloc: str = "primary", pattern: str | None = None) -> DataFrame:
+    """Bonds that files state: CONECT records and bond blocks."""
+    return bonds_of(_files(spark, paths, pattern), altloc)
 
 
-def read_poses(spark: SparkSession, paths, pattern: str | None = None) -> DataFrame:
-    """One row for each readable SDF record; pose_id counts unreadable ones too. block is the record as it stands."""
+POSE_SCHEMA = "source string, pose_id int, name string, n_atoms int, n_heavy int, properties map<string,string>, block string, parse_error string"
+
+
+def poses_of(files: DataFrame) -> DataFrame:
+    """One row for each SDF record of (path, content) rows. block is the record as it stands; one that can't be read has its
+    error and neither name nor counts."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for path, content in zip(pdf.path, pdf.content, strict=True):
-                text = (gzip.decompress(content) if path.lower().endswith(".gz") else content).decode("utf-8", "replace")
+                text = (gzip.decompress(content) if path.lower().endswith(".gz") else bytes(content)).decode("utf-8", "replace")
                 for k, record in enumerate(split_sdf(text), 1):
                     try:
                         r = parse_sdf(record)
-                    except FormatError:
+                    except FormatError as e:
+                        out.append([stem(path), k, None, None, None, None, record, str(e)])
                         continue
                     heavy = sum(a["element"] not in ("", "H") for a in r["atoms"])
-                    out.append([stem(path), k, r["name"], len(r["atoms"]), heavy, r["properties"], record])
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in POSE_SCHEMA.split(", ")])
+                    out.append([stem(path), k, r["name"], len(r["atoms"]), heavy, r["properties"], record, None])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in POSE_SCHEMA.split(", ")]).astype({"n_atoms": "Int32", "n_heavy": "Int32"})
+
+    return files.mapInPandas(run, POSE_SCHEMA)
 
-    return _files(spark, paths, pattern).mapInPandas(run, POSE_SCHEMA)
+
+def read_poses(spark: SparkSession, paths, pattern: str | None = None) -> DataFrame:
+    """poses_of() of the SDF files under paths."""
+    return poses_of(_files(spark, paths, pattern))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def running_series(frames: DataFrame, key: str, frame: str, value: str) -> DataFrame:
     """(key, n, first_frame, first_value, last_value, mean, largest_shift): works on batch and streaming tables alike.
@@ -36,8 +35,7 @@ def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, mode: str = "co
 
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """running_series over the events as a file stream, written and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratamol-stream-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     run_to_parquet(running_series(events, "user_id", "event_id", "value"), f"{place}/out", f"{place}/state")
