@@ -52,11 +52,12 @@ def mark() -> int:
     return len(_MADE)
 
 
-def release(since: int = 0, keep: DataFrame | None = None) -> None:
-    """Deletes what materialise() has written since mark(), but for the table that keep reads.
+def release(since: int = 0, keep: DataFrame | list[DataFrame] | None = None) -> None:
+    """Deletes what materialise() has written since mark(), but for the tables that keep reads.
 
     Call it once what builds on these tables is written; frames that still read them fail."""
-    kept = {x.rsplit("/", 2)[0] for x in keep.inputFiles()} if keep is not None else set()
+    frames = keep if isinstance(keep, list) else [] if keep is None else [keep]
+    kept = {x.rsplit("/", 2)[0] for f in frames for x in f.inputFiles()}
     stay = []
     while len(_MADE) > since:
         made = _MADE.pop()

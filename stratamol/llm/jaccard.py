@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytescan import mix, shingle_sets
-from .common import join_null_safe, materialise, text_slices
+from .common import join_null_safe, mark, materialise, release, text_slices
 from .components import connected_components
 
 #: Sets of a block above which it is split, of each chunk, and its pivots.
@@ -79,8 +79,13 @@ _EMPTY = np.zeros(0, np.uint64)
 
 
 def _row(part, pack, keys=_EMPTY, ns=_EMPTY, tok=_EMPTY, idx=_EMPTY, many=_EMPTY, counts=_EMPTY):
-    kinds = (np.int64, np.int64, np.uint64, np.uint32, np.uint64, np.uint32)
-    return [int(part), int(pack), *(np.asarray(x).astype(k).tobytes() for x, k in zip((keys, ns, tok, idx, many, counts), kinds, strict=True))]
+    """A packed row. idx and counts take 2 bytes each where all fit; how many there are follows from tok, many and counts."""
+
+    def small(x):
+        return np.asarray(x).astype(np.uint16 if np.max(x, initial=0) < 1 << 16 else np.uint32)
+
+    cols = (np.asarray(keys, np.int64), np.asarray(ns, np.int64), tok.astype(np.uint64), small(idx), many.astype(np.uint64), small(counts))
+    return [int(part), int(pack), *(x.tobytes() for x in cols)]
 
 
 def _batch(rows):
@@ -91,6 +96,11 @@ def _column(table, name, kind):
     return [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
 
 
+def _sized(table, name, numbers):
+    """The values of each row, whose number is known: 2 or 4 bytes each."""
+    return [np.frombuffer(x.as_py(), np.uint16 if len(x.as_py()) == 2 * n else np.uint32).astype(np.int64) for x, n in zip(table.column(name), numbers, strict=True)]
+
+
 def _joined_column(table, name, kind):
     return np.concatenate([np.zeros(0, kind), *_column(table, name, kind)])
 
@@ -156,8 +166,8 @@ def _shared(table: pa.Table) -> pa.Table:
     heads = [r for r in zip(*(table.column(n).to_pylist() for n in _NAMES), strict=True) if r[2]]
     rows = [list(r) for r in heads]
     table = table.filter(pa.array([not len(x.as_py()) for x in table.column("keys")]))
-    toks, idxs = _column(table, "tok", np.uint64), _column(table, "idx", np.uint32)
-    manys, counts = _column(table, "many", np.uint64), _column(table, "counts", np.uint32)
+    toks, manys = _column(table, "tok", np.uint64), _column(table, "many", np.uint64)
+    idxs, counts = _sized(table, "idx", map(len, toks)), _sized(table, "counts", map(len, manys))
     every = np.concatenate([_EMPTY, *toks, *manys])
     weight = np.concatenate([np.ones(sum(map(len, toks)), np.int64), *counts])
     order = np.argsort(every, kind="stable")
@@ -187,13 +197,17 @@ def _candidates(percent: int):
         head = table.filter(pa.array(is_head))
         keys, ns = _joined_column(head, "keys", np.int64), _joined_column(head, "ns", np.int64)
         table = table.filter(pa.array([not x for x in is_head]))
-        toks, idxs, manys, counts = (_column(table, n, k) for n, k in (("tok", np.uint64), ("idx", np.uint32), ("many", np.uint64), ("counts", np.uint32)))
-        tok, row = np.concatenate([_EMPTY, *toks]), np.concatenate([np.zeros(0, np.uint32), *idxs])
-        df = np.concatenate([np.zeros(0, np.uint32), *(c[: len(t)] for c, t in zip(counts, toks, strict=True))])
+        toks, manys = _column(table, "tok", np.uint64), _column(table, "many", np.uint64)
+        idxs, counts = _sized(table, "idx", map(len, toks)), _sized(table, "counts", [len(t) + len(m) for t, m in zip(toks, manys, strict=True)])
+        none = np.zeros(0, np.int64)
+        tok, row = np.concatenate([_EMPTY, *toks]), np.concatenate([none, *idxs])
+        df = np.concatenate([none, *(c[: len(t)] for c, t in zip(counts, toks, strict=True))])
         # the shingles that many sets of the pack have: their counts are here, who has them is in the head
-        many, many_df = np.concatenate([_EMPTY, *manys]), np.concatenate([np.zeros(0, np.uint32), *(c[len(t) :] for c, t in zip(counts, toks, strict=True))])
+        many, many_df = np.concatenate([_EMPTY, *manys]), np.concatenate([none, *(c[len(t) :] for c, t in zip(counts, toks, strict=True))])
         order = np.argsort(many)
-        own, own_n, who = _joined_column(head, "many", np.uint64), _joined_column(head, "counts", np.uint32), _joined_column(head, "idx", np.uint32)
+        heads = _column(head, "many", np.uint64)
+        numbers = _sized(head, "counts", map(len, heads))
+        own, own_n, who = np.concatenate([_EMPTY, *heads]), np.concatenate([none, *numbers]), np.concatenate([none, *_sized(head, "idx", [int(n.sum()) for n in numbers])])
         if len(own):
             own_df = many_df[order][np.searchsorted(many[order], own)]
             tok, row, df = np.concatenate((tok, np.repeat(own, own_n))), np.concatenate((row, who)), np.concatenate((df, np.repeat(own_df, own_n)))
@@ -378,7 +392,7 @@ def _joined(percent: int):
 
 def key_components(docs: DataFrame, sets: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, component key) of the sets linked to a different set."""
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    since, total = mark(), sets.agg(F.sum("n_shingles")).first()[0] or 0
     parts, packs = max(8, -(-total // PER_PART)), max(8, -(-total // PACK))
     dealt = _dealt(docs, k, parts, id_col, text_col)
     shared = dealt.repartition(parts, "part").groupBy("part").applyInArrow(_shared, _PACK)
@@ -394,6 +408,7 @@ def key_components(docs: DataFrame, sets: DataFrame, k: int = 4, percent: int =
     sized = materialise(blocks.groupBy("block").agg(F.count("*").alias("members")), "sizes")
     found = found.join(blocks.join(sized, "block"), "key").groupBy("key").agg(F.first("block").alias("block"), F.first("members").alias("members"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
     members = materialise(found, "members")
+    release(since, keep=[members, sized])
     small = members.where(F.col("members") <= BLOCK).withColumn("settled", F.lit(None).cast("long")).withColumn("side", F.lit(0)).drop("prefix")
     linked = small.groupBy("block").applyInArrow(_joined(percent), "key long, root long")
     linked = materialise(linked.where("key <> root"), "links")
