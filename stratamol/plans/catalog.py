@@ -124,9 +124,9 @@ _S = f"""SELECT structure_id, count(*) AS n_atoms, sum(m) AS total_mass, avg(x)
   max(x) - min(x) AS dim_x, max(y) - min(y) AS dim_y, max(z) - min(z) AS dim_z FROM w GROUP BY 1"""
 
 
-@query(cte("atoms") + f", w AS (SELECT *, {M} AS m FROM atoms), s AS ({_S}), i AS (SELECT w.structure_id, sum(m * ((y - com_y) * (y - com_y) + (z - com_z) * (z - com_z))) AS ixx, sum(m * ((x - com_x) * (x - com_x) + (z - com_z) * (z - com_z))) AS iyy, sum(m * ((x - com_x) * (x - com_x) + (y - com_y) * (y - com_y))) AS izz, -sum(m * (x - com_x) * (y - com_y)) AS ixy, -sum(m * (x - com_x) * (z - com_z)) AS ixz, -sum(m * (y - com_y) * (z - com_z)) AS iyz FROM w JOIN s ON w.structure_id = s.structure_id GROUP BY 1) SELECT s.structure_id, n_atoms, " + ", ".join(f"{R(c)} AS {c}" for c in ("total_mass", "cx", "cy", "cz", "com_x", "com_y", "com_z", "dim_x", "dim_y", "dim_z")) + ", " + R("sqrt((ixx + iyy + izz) / 2 / total_mass)") + " AS rg, " + ", ".join(f"(round({c} / total_mass, 6) + 0.0) AS {c}" for c in INERTIA) + " FROM s JOIN i ON s.structure_id = i.structure_id")
+@query(cte("atoms") + f", w AS (SELECT *, {M} AS m FROM atoms), s AS ({_S}), i AS (SELECT w.structure_id, sum(m * ((y - com_y) * (y - com_y) + (z - com_z) * (z - com_z))) AS ixx, sum(m * ((x - com_x) * (x - com_x) + (z - com_z) * (z - com_z))) AS iyy, sum(m * ((x - com_x) * (x - com_x) + (y - com_y) * (y - com_y))) AS izz, -sum(m * (x - com_x) * (y - com_y)) AS ixy, -sum(m * (x - com_x) * (z - com_z)) AS ixz, -sum(m * (y - com_y) * (z - com_z)) AS iyz FROM w JOIN s ON w.structure_id = s.structure_id GROUP BY 1) SELECT s.structure_id, n_atoms, " + ", ".join(f"{R(c)} AS {c}" for c in ("total_mass", "cx", "cy", "cz", "com_x", "com_y", "com_z", "dim_x", "dim_y", "dim_z")) + ", " + R("sqrt((ixx + iyy + izz) / 2 / total_mass)") + " AS rg, " + R("dim_x * dim_y * dim_z") + " AS volume, " + R("CASE WHEN dim_x * dim_y * dim_z > 0 THEN n_atoms / (dim_x * dim_y * dim_z) ELSE 0.0 END") + " AS compactness, " + ", ".join(f"(round({c} / total_mass, 6) + 0.0) AS {c}" for c in INERTIA) + " FROM s JOIN i ON s.structure_id = i.structure_id")
 def geometry(spark, sf):
-    g = aggregates.geometry(view(spark, sf, "atoms")).drop("volume", "compactness")
+    g = aggregates.geometry(view(spark, sf, "atoms"))
     g = g.withColumns({c: F.round(F.col(c) / F.col("total_mass"), 6) for c in INERTIA})  # divided: sums of products end in exact halves
     return r6(g, *[c for c in g.columns if c not in ("structure_id", "n_atoms", *INERTIA)])
 
@@ -378,9 +378,9 @@ def model_clusters(spark, sf):
     return ensemble.cluster(ensemble.rmsd_matrix(view(spark, sf, "ensemble")))
 
 
-@query()
+@query(f"SELECT user_id, count(*) AS n, min(event_id) AS first_frame, arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value, {R('avg(value)')} AS mean, {R('greatest(abs(max(value) - arg_min(value, event_id)), abs(min(value) - arg_min(value, event_id)))')} AS largest_shift FROM events GROUP BY 1")
 def streamed_frames(spark, sf):
-    return frames.streamed_events(spark, sf)
+    return r6(frames.streamed_events(spark, sf), "mean", "largest_shift")
 
 
 # backbone
@@ -596,9 +596,9 @@ def contact_changes(spark, sf):
     return compare.contact_changes(*(spatial.pairs(e.where(F.col("model_id") == m), 10.0) for m in (1, 2)))
 
 
-@query(cte("atoms") + RUNS + f", k AS (SELECT structure_id, residue_idx, first(resname) AS resname, bool_or(hetero) AS het FROM runs GROUP BY 1, 2), c AS (SELECT structure_id, count(*) AS n_residues, count(*) FILTER (resname IN {_in(WATER)}) AS n_waters, count(*) FILTER (resname IN {_in(IONS)} AND het) AS n_ions, count(*) FILTER (het AND resname NOT IN {_in((*WATER, *IONS))}) AS n_ligands FROM k GROUP BY 1) SELECT c.*, n_atoms, n_hydrogens FROM c JOIN (SELECT structure_id, count(*) AS n_atoms, count(*) FILTER (element = 'H') AS n_hydrogens FROM atoms GROUP BY 1) a ON a.structure_id = c.structure_id")
+@query(cte("atoms") + RUNS + f", k AS (SELECT structure_id, residue_idx, first(resname) AS resname, bool_or(hetero) AS het FROM runs GROUP BY 1, 2), c AS (SELECT structure_id, count(*) AS n_residues, count(*) FILTER (resname IN {_in(WATER)}) AS n_waters, count(*) FILTER (resname IN {_in(IONS)} AND het) AS n_ions, count(*) FILTER (het AND resname NOT IN {_in((*WATER, *IONS))}) AS n_ligands FROM k GROUP BY 1) SELECT c.*, n_atoms, n_hydrogens, n_blank_elements, n_unknown_elements, n_without_atom_name, n_without_resname, n_without_chain FROM c JOIN (SELECT structure_id, count(*) AS n_atoms, count(*) FILTER (element = 'H') AS n_hydrogens, count(*) FILTER (trim(element) = '') AS n_blank_elements, count(*) FILTER (element NOT IN {_in((*el.SYMBOLS, ''))}) AS n_unknown_elements, count(*) FILTER (atom_name = '') AS n_without_atom_name, count(*) FILTER (resname = '') AS n_without_resname, count(*) FILTER (chain = '') AS n_without_chain FROM atoms GROUP BY 1) a ON a.structure_id = c.structure_id")
 def quality_inventory(spark, sf):
-    return quality.inventory(view(spark, sf, "atoms")).select("structure_id", "n_residues", "n_waters", "n_ions", "n_ligands", "n_atoms", "n_hydrogens")
+    return quality.inventory(view(spark, sf, "atoms"))
 
 
 @query(cte("atoms") + " SELECT structure_id, 'missing_hydrogens' AS code FROM atoms GROUP BY structure_id HAVING count(*) FILTER (element = 'H') = 0")
@@ -606,9 +606,15 @@ def quality_findings(spark, sf):
     return quality.findings(quality.inventory(view(spark, sf, "atoms")))
 
 
-@query(cte("atoms") + RUNS + f", k AS (SELECT structure_id, residue_idx, first(resname) AS resname, count(DISTINCT atom_name) FILTER (atom_name IN ('N', 'CA', 'C', 'O')) AS bb, count(*) FILTER (element NOT IN ('H', 'D')) AS heavy FROM runs GROUP BY 1, 2) SELECT structure_id, count(*) FILTER (resname IN {_in((*AMINO_ACIDS, *NUCLEOTIDES))}) AS n_polymer, count(*) FILTER (resname NOT IN {_in((*AMINO_ACIDS, *NUCLEOTIDES, *WATER))}) AS n_nonstandard, count(*) FILTER (resname IN {_in(AMINO_ACIDS)} AND bb < 4) AS n_missing_backbone, count(*) FILTER (resname IN {_in(AMINO_ACIDS)} AND heavy < {case_sql('resname', HEAVY_ATOMS, 0)}) AS n_truncated FROM k GROUP BY 1")
+_TOPOLOGY = (cte("atoms") + REPS + f", k AS (SELECT structure_id, residue_idx, first(resname) AS resname, count(DISTINCT atom_name) FILTER (atom_name IN ('N', 'CA', 'C', 'O')) AS bb, count(*) FILTER (element NOT IN ('H', 'D')) AS heavy FROM runs GROUP BY 1, 2) SELECT structure_id, count(*) FILTER (resname IN {_in((*AMINO_ACIDS, *NUCLEOTIDES))}) AS n_polymer, count(*) FILTER (resname NOT IN {_in((*AMINO_ACIDS, *NUCLEOTIDES, *WATER))}) AS n_nonstandard, count(*) FILTER (resname IN {_in(AMINO_ACIDS)} AND bb < 4) AS n_missing_backbone, count(*) FILTER (resname IN {_in(AMINO_ACIDS)} AND heavy < {case_sql('resname', HEAVY_ATOMS, 0)}) AS n_truncated FROM k GROUP BY 1)")
+_TOPOLOGY = _TOPOLOGY.replace(" SELECT structure_id, count(*) FILTER (resname IN", ", t AS (SELECT structure_id, count(*) FILTER (resname IN", 1) + f""", q AS (SELECT structure_id, resid - lag(resid) OVER w AS step, (x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) + (z - lag(z) OVER w) * (z - lag(z) OVER w) AS d2
+ FROM reps WHERE resname IN {_in((*AMINO_ACIDS, *NUCLEOTIDES))} WINDOW w AS (PARTITION BY structure_id, chain ORDER BY atom_idx)), g AS (SELECT structure_id, count(*) FILTER (step > 1) AS n_gaps, count(*) FILTER (step = 1 AND d2 > 20.25) AS n_breaks FROM q GROUP BY 1)
+ SELECT t.*, coalesce(n_gaps, 0) AS n_gaps, coalesce(n_breaks, 0) AS n_breaks FROM t LEFT JOIN g USING (structure_id)"""
+
+
+@query(_TOPOLOGY)
 def structure_topology(spark, sf):
-    return quality.topology(view(spark, sf, "atoms")).drop("n_gaps", "n_breaks")
+    return quality.topology(view(spark, sf, "atoms"))
 
 
 @query("SELECT p_partkey, p_name, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.2 + 0.1 THEN 'validation' ELSE 'train' END AS split FROM (SELECT p_partkey, p_name, ('0x' || substr(md5('3:' || p_partkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, row_number() OVER (PARTITION BY trim(p_name) ORDER BY p_partkey) AS r FROM part) t WHERE r = 1) v")
@@ -691,19 +697,32 @@ def ensemble_summary(spark, sf):
     return reports.ensemble_summary(view(spark, sf, "ensemble"), align=False)
 
 
-@query(cte("atoms") + RUNS + f""", k AS (SELECT structure_id, residue_idx, first(resname) AS resname, count(DISTINCT atom_name) FILTER (atom_name IN ('N', 'CA', 'C', 'O')) AS bb FROM runs GROUP BY 1, 2)
- SELECT structure_id, 'missing_hydrogens' AS code FROM atoms GROUP BY 1 HAVING count(*) FILTER (element = 'H') = 0 UNION ALL SELECT structure_id, 'missing_backbone' FROM k GROUP BY 1 HAVING count(*) FILTER (resname IN {_in(AMINO_ACIDS)} AND bb < 4) > 0
- UNION ALL SELECT structure_id, 'nonstandard_residues' FROM k GROUP BY 1 HAVING count(*) FILTER (resname NOT IN {_in((*AMINO_ACIDS, *NUCLEOTIDES, *WATER))}) > 0""")
+_CONCERNS = "CASE code " + " ".join(f"WHEN '{c}' THEN '{','.join(w)}'" for c, w in reports.CONCERNS.items()) + " END"
+
+
+@query("WITH top AS (" + _TOPOLOGY + "), inv AS (" + ORACLES["quality_inventory"] + f"""), c AS (SELECT structure_id, 'missing_hydrogens' AS code FROM inv WHERE n_hydrogens = 0 UNION ALL SELECT structure_id, 'bad_elements' FROM inv WHERE n_blank_elements + n_unknown_elements > 0
+ UNION ALL SELECT structure_id, 'missing_metadata' FROM inv WHERE n_without_atom_name = n_atoms OR n_without_resname = n_atoms OR n_without_chain = n_atoms UNION ALL SELECT structure_id, 'large_dense' FROM inv WHERE n_atoms > {quality.LARGE}
+ """ + " ".join(f"UNION ALL SELECT structure_id, '{code}' FROM top WHERE {n} > 0" for code, n in reports.DEEP.items()) + f") SELECT structure_id, code, {_CONCERNS} AS workflows FROM c")
 def preflight_codes(spark, sf):
-    """The codes of the coarse-graining and descriptor workflows but for side chains."""
-    got = reports.preflight(view(spark, sf, "atoms"), deep=True)
-    return got.where("code in ('missing_hydrogens', 'missing_backbone', 'nonstandard_residues')").select("structure_id", "code")
+    return reports.preflight(view(spark, sf, "atoms"), deep=True).withColumn("workflows", F.array_join("workflows", ","))
 
 
-@query()
+_LABELLED = "SELECT *, chain || ':' || resname || resid || icode AS label FROM ensemble WHERE model_id"
+
+
+def _held(s, t):
+    return f"SELECT DISTINCT a.structure_id, least(a.label, b.label) AS i, greatest(a.label, b.label) AS j FROM (SELECT * FROM {s} SEMI JOIN {t} USING (structure_id, label)) a JOIN (SELECT * FROM {s} SEMI JOIN {t} USING (structure_id, label)) b ON a.structure_id = b.structure_id AND a.atom_idx < b.atom_idx WHERE {D2} < 64"
+
+
+# in this view every atom is a residue of its own
+@query(cte("ensemble") + f""", p AS ({_LABELLED} = 1), q AS ({_LABELLED} = 2), m AS (SELECT a.structure_id, a.atom_idx, a.label, {D2} AS d2 FROM p a JOIN q b ON a.structure_id = b.structure_id AND a.chain = b.chain AND a.resid = b.resid AND a.icode = b.icode AND a.atom_name = b.atom_name),
+ f AS (SELECT structure_id, count(*) AS n_matched, {R("sqrt(avg(d2))")} AS rmsd, {R("sqrt(max(d2))")} AS max_deviation, arg_max(label, (round(d2, 9), -atom_idx)) AS worst FROM m GROUP BY 1), cp AS ({_held("p", "q")}), cq AS ({_held("q", "p")}),
+ c AS (SELECT structure_id, count(*) FILTER (s = 3) AS common, count(*) FILTER (s = 1) AS lost, count(*) FILTER (s = 2) AS gained FROM (SELECT structure_id, i, j, sum(w) AS s FROM (SELECT *, 1 AS w FROM cp UNION ALL SELECT *, 2 FROM cq) GROUP BY 1, 2, 3) GROUP BY 1),
+ n AS (SELECT structure_id, n_atoms_a, n_atoms_b FROM (SELECT structure_id, count(*) AS n_atoms_a FROM p GROUP BY 1) JOIN (SELECT structure_id, count(*) AS n_atoms_b FROM q GROUP BY 1) USING (structure_id))
+ SELECT structure_id, n_atoms_a, n_atoms_b, coalesce(n_matched, 0) AS n_matched, rmsd, max_deviation, worst, coalesce(common, 0) AS common, coalesce(lost, 0) AS lost, coalesce(gained, 0) AS gained FROM n LEFT JOIN f USING (structure_id) LEFT JOIN c USING (structure_id)""")
 def compared_structures(spark, sf):
     e = view(spark, sf, "ensemble")
-    return reports.compare_structures(*(e.where(F.col("model_id") == m) for m in (1, 2)))
+    return r6(reports.compare_structures(*(e.where(F.col("model_id") == m) for m in (1, 2))), "rmsd", "max_deviation")
 
 
 @query()
