@@ -316,7 +316,11 @@ def hash_split(spark, sf):
     return ranking.hash_split(table(spark, sf, "part"), "p_partkey", 0.1, 0.1).select("p_partkey", "split")
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY 1), c AS (SELECT sum(n) AS n, round_even(sum(n) * 0.1::DOUBLE, 0) AS t FROM g),
+ r AS (SELECT 0 AS k, 0::HUGEINT AS train, 0::HUGEINT AS val, NULL::VARCHAR AS brand, NULL::VARCHAR AS split UNION ALL
+  SELECT g.k, r.train + CASE WHEN r.train + g.n <= c.n - 2 * c.t THEN g.n ELSE 0 END, r.val + CASE WHEN r.train + g.n > c.n - 2 * c.t AND r.val + g.n <= c.t THEN g.n ELSE 0 END, g.p_brand,
+   CASE WHEN r.train + g.n <= c.n - 2 * c.t THEN 'train' WHEN r.val + g.n <= c.t THEN 'validation' ELSE 'test' END FROM r JOIN g ON g.k = r.k + 1, c)
+ SELECT p_partkey, p_brand, split FROM part JOIN r ON p_brand = brand""")
 def group_split(spark, sf):
     return ranking.group_split(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand", 0.1, 0.1)
 
@@ -725,7 +729,21 @@ def compared_structures(spark, sf):
     return r6(reports.compare_structures(*(e.where(F.col("model_id") == m) for m in (1, 2))), "rmsd", "max_deviation")
 
 
-@query()
+def _listed(x):
+    return f"CASE len({x}) WHEN 1 THEN {x}[1] WHEN 2 THEN {x}[1] || ' and ' || {x}[2] ELSE array_to_string({x}[:-2], ', ') || ', and ' || {x}[-1] END"
+
+
+def _near(c):
+    return f"list(label || printf(' (%.1f A)', {c}) ORDER BY chain, resid) FILTER ({c} IS NOT NULL)"
+
+
+def _sentence(x, lead):
+    return f"CASE WHEN len({x}) > 0 THEN '{lead}' || {_listed(x)} || '.' END"
+
+
+@query("WITH k AS (" + ORACLES["pocket_chemistry"] + f"""), l AS (SELECT *, chain || ':' || resname || resid AS label FROM k), g AS (SELECT structure_id, count(*) AS n, list(label ORDER BY chain, resid) FILTER (hydrophobic) AS wall, list(label ORDER BY chain, resid) FILTER (aromatic) AS rings,
+ {_near("polar_distance")} AS polar, {_near("salt_distance")} AS salt FROM l GROUP BY 1) SELECT structure_id, concat_ws(' ', n || ' residues are near the ligand.', {_sentence("wall", "Hydrophobic contacts: ")}, {_sentence("rings", "Aromatic residues nearby: ")}, {_sentence("polar", "Close polar atoms: ")}, {_sentence("salt", "Opposite charges: ")},
+ CASE WHEN coalesce(len(polar), 0) + coalesce(len(salt), 0) = 0 THEN 'No polar or charged atoms are close.' END) AS text FROM g""")
 def pocket_texts(spark, sf):
     """Text of the pocket of each structure's ligands."""
     return reports.pocket_text(view(spark, sf, "atoms"))
