@@ -32,9 +32,9 @@ from .components import connected_components
 #: Sets of a block above which it is split, of each chunk, and its pivots.
 BLOCK, CHUNK, PIVOTS = 1024, 512, 4
 #: Shingle occurrences for each hash partition.
-PER_PART = 4_000_000
+PER_PART = 2_000_000
 #: Occurrences that a task packs before it sends them; sets of a pack from which a shingle goes as one entry.
-PACK, MANY = 2_000_000, 8
+PACK, MANY = 1_000_000, 8
 #: Copies of the rows that name a group of copies or links, so that its members meet them in several tasks.
 SALTS = 8
 
@@ -98,7 +98,7 @@ def _column(table, name, kind):
 
 def _sized(table, name, numbers):
     """The values of each row, whose number is known: 2 or 4 bytes each."""
-    return [np.frombuffer(x.as_py(), np.uint16 if len(x.as_py()) == 2 * n else np.uint32).astype(np.int64) for x, n in zip(table.column(name), numbers, strict=True)]
+    return [np.frombuffer(x.as_py(), np.uint16 if len(x.as_py()) == 2 * n else np.uint32) for x, n in zip(table.column(name), numbers, strict=True)]
 
 
 def _joined_column(table, name, kind):
@@ -169,13 +169,16 @@ def _shared(table: pa.Table) -> pa.Table:
     toks, manys = _column(table, "tok", np.uint64), _column(table, "many", np.uint64)
     idxs, counts = _sized(table, "idx", map(len, toks)), _sized(table, "counts", map(len, manys))
     every = np.concatenate([_EMPTY, *toks, *manys])
-    weight = np.concatenate([np.ones(sum(map(len, toks)), np.int64), *counts])
+    weight = np.concatenate([np.ones(sum(map(len, toks)), np.uint32), *counts])
     order = np.argsort(every, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1]))) if len(every) else np.zeros(0, np.int64)
-    df = np.empty(len(every), np.int64)
-    if len(every):
-        df[order] = np.repeat(np.add.reduceat(weight[order], first), np.diff(np.append(first, len(every))))
-    df = np.minimum(df, (1 << 32) - 1)
+    every = every[order]
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+    del every
+    df = np.empty(len(order), np.uint32)
+    if len(order):
+        total = np.minimum(np.add.reduceat(weight[order], first, dtype=np.int64), (1 << 32) - 1).astype(np.uint32)
+        df[order] = np.repeat(total, np.diff(np.append(first, len(order))))
+    del order, weight
     at, many_at = 0, sum(map(len, toks))
     for pack, tok, idx, many in zip(table.column("pack").to_pylist(), toks, idxs, manys, strict=True):
         own, own_many = df[at : at + len(tok)], df[many_at : many_at + len(many)]
@@ -199,7 +202,7 @@ def _candidates(percent: int):
         table = table.filter(pa.array([not x for x in is_head]))
         toks, manys = _column(table, "tok", np.uint64), _column(table, "many", np.uint64)
         idxs, counts = _sized(table, "idx", map(len, toks)), _sized(table, "counts", [len(t) + len(m) for t, m in zip(toks, manys, strict=True)])
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint16)
         tok, row = np.concatenate([_EMPTY, *toks]), np.concatenate([none, *idxs])
         df = np.concatenate([none, *(c[: len(t)] for c, t in zip(counts, toks, strict=True))])
         # the shingles that many sets of the pack have: their counts are here, who has them is in the head
