@@ -51,6 +51,27 @@ def shape_descriptors(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
     return g.withColumns(shape(*m, F.col("total_mass")) | {"inertia_anisotropy": inertia_anisotropy(*m)})
 
 
+def principal_axes(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """(key, m1, m2, m3, axis1, axis2, axis3): moments of inertia, ascending, and their unit axes; an axis's first part that
+    isn't 0 is positive. Where moments are equal their axes are any that fit."""
+    import numpy as np
+    import pandas as pd
+
+    g = geometry(atoms, key).select(*key, "ixx", "iyy", "izz", "ixy", "ixz", "iyz")
+    kinds = ", ".join(f"{k} {g.schema[k].dataType.simpleString()}" for k in key)
+
+    def run(frames):
+        for pdf in frames:
+            t = pdf[["ixx", "ixy", "ixz", "ixy", "iyy", "iyz", "ixz", "iyz", "izz"]].to_numpy(float).reshape(-1, 3, 3)
+            values, vectors = np.linalg.eigh(t)
+            axes = vectors.transpose(0, 2, 1)
+            first = np.take_along_axis(axes, (np.abs(axes) > 1e-9).argmax(2)[..., None], 2)
+            axes = axes * np.where(first < 0, -1.0, 1.0)
+            yield pd.concat([pdf[list(key)].reset_index(drop=True), pd.DataFrame({f"m{k + 1}": values[:, k] for k in range(3)} | {f"axis{k + 1}": list(axes[:, k]) for k in range(3)})], axis=1)
+
+    return g.mapInPandas(run, f"{kinds}, m1 double, m2 double, m3 double, axis1 array<double>, axis2 array<double>, axis3 array<double>")
+
+
 def formula(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
     """(key, formula) in Hill order: C, then H even without C, then the others by symbol."""
     e = F.initcap(F.trim("element"))
@@ -73,7 +94,7 @@ def distance_histogram(atoms: DataFrame, bins: int = 10, low: float = 0.0, high:
     return p.groupBy(*key, b.alias("bin")).agg(F.count("*").alias("n_pairs"))
 
 
-def bonds(atoms: DataFrame, explicit: DataFrame | None = None, tolerance: float = 1.2, key: list[str] = KEY, cells: bool = False) -> DataFrame:
+def bonds(atoms: DataFrame, explicit: DataFrame | None = None, tolerance: float = 1.2, key: list[str] = KEY, cells: bool = True) -> DataFrame:
     """(key, i, j, d2, source): explicit bonds where a structure has any, else pairs under tolerance times their radii."""
     a = atoms.withColumn("radius", covalent_radius("element"))
     p = pairs(a, tolerance * 2 * LARGEST_RADIUS, key, cells, extra=["radius"])

@@ -98,3 +98,12 @@ def group_names(bead: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Adds group_name: the bead's name, from the second on with _2, _3 and so on."""
     n = F.row_number().over(W.partitionBy(*key, "bead_name").orderBy("bead_idx"))
     return bead.withColumn("group_name", F.when(n == 1, F.col("bead_name")).otherwise(F.concat("bead_name", F.lit("_"), n.cast("string"))))
+
+
+def labels(bead: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Adds label: the bead's name with its residue, like BB (12A ALA A), or name#bead_idx without any."""
+    have = set(bead.columns)
+    parts = [F.concat(F.col("resid").cast("string"), F.coalesce(F.col("icode"), F.lit("")))] if {"resid", "icode"} <= have else []
+    parts += [F.nullif(F.col(c), F.lit("")) for c in ("resname", "chain") if c in have]
+    residue = F.concat_ws(" ", *parts) if parts else F.lit("")
+    return bead.withColumn("label", F.when(residue != "", F.concat("bead_name", F.lit(" ("), residue, F.lit(")"))).otherwise(F.concat("bead_name", F.lit("#"), F.col("bead_idx").cast("string"))))

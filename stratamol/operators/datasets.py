@@ -11,7 +11,7 @@ from . import aggregates, graph, ranking, spatial
 KEY = ["structure_id"]
 
 
-def graph_edges(atoms: DataFrame, kind: str = "bonds", value: float | None = None, explicit: DataFrame | None = None, min_seq_sep: int = 0, key: list[str] = KEY, cells: bool = False) -> DataFrame:
+def graph_edges(atoms: DataFrame, kind: str = "bonds", value: float | None = None, explicit: DataFrame | None = None, min_seq_sep: int = 0, key: list[str] = KEY, cells: bool = True) -> DataFrame:
     """(key, i, j, distance, covalent) by one rule: bonds (tolerance), radius (distance) or knn (number).
 
     min_seq_sep drops edges of one chain whose residue numbers differ by less."""

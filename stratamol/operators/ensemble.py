@@ -175,6 +175,12 @@ def cluster(rmsd: DataFrame, method: str = "average", cutoff: float | None = Non
     return rmsd.groupBy(*key).applyInPandas(run, f"{kinds}, model_id {rmsd.schema['model_a'].dataType.simpleString()}, cluster int, medoid boolean")
 
 
+def cluster_order(clusters: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """(key, position, model_id): models sorted by cluster, as a block-diagonal matrix has them."""
+    w = W.partitionBy(*key).orderBy("cluster", "model_id")
+    return clusters.select(*key, (F.row_number().over(w) - 1).alias("position"), "model_id")
+
+
 def frame_series(atoms: DataFrame, key: list[str] = KEY, model: str = "model_id") -> DataFrame:
     """(key, model, n_atoms, rg, rmsd_first): radius of gyration and plain RMSD to the first frame, frame by frame."""
     from .aggregates import geometry

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ligand_key
+from ..session import scratch
 
 # Score fields whose direction is known.
 HIGHER = ("cnnscore", "cnnaffinity", "cnn_vs", "cnn", "cnnpose", "rfscore", "nnscore", "probability", "confidence", "gnina")
@@ -39,8 +40,8 @@ def efficiency(score, heavy, higher: bool):
 def rank_poses(poses: DataFrame, score: str, higher: bool, order: list[str], heavy: str | None = None, ligand: str | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Adds rank by score in its direction, ties in `order`; rows without a score drop out.
 
-    ligand: keep the best pose of each ligand first. by: rank within groups; without groups one task ranks all, as a total
-    order must, on the narrow columns only."""
+    ligand: keep the best pose of each ligand first. by: rank within groups; without groups ranges are sorted by the tasks
+    and numbered from their counts."""
     best = F.col(score).desc() if higher else F.col(score).asc()
     p = poses.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     if ligand:
@@ -48,7 +49,9 @@ def rank_poses(poses: DataFrame, score: str, higher: bool, order: list[str], hea
         p = p.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
     if heavy:
         p = p.withColumn("efficiency", efficiency(F.col(score), F.col(heavy), higher))
-    return p.withColumn("rank", F.row_number().over((W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(best, *order)))
+    if not by:
+        return numbered(p, [best, *order], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
+    return p.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(best, *order)))
 
 
 def summarise(poses: DataFrame, score: str) -> DataFrame:
@@ -64,13 +67,26 @@ def consensus(poses: DataFrame, scores: dict[str, bool], key: str, order: str) -
     best = [(F.max if hi else F.min)(s).alias(s) for s, hi in scores.items()]
     g = poses.groupBy(key).agg(*best, F.min(order).alias("first"))
     for s, hi in scores.items():
-        w = W.orderBy(F.col(s).desc_nulls_last() if hi else F.col(s).asc_nulls_last(), "first", key)
-        g = g.withColumn(f"rank_{s}", F.when(F.col(s).isNotNull(), F.row_number().over(w)))
+        g = numbered(g, [F.col(s).desc_nulls_last() if hi else F.col(s).asc_nulls_last(), "first", key], "__n")
+        g = g.withColumn(f"rank_{s}", F.when(F.col(s).isNotNull(), (F.col("__n") + 1).cast("int"))).drop("__n")
     ranks = [F.col(f"rank_{s}") for s in scores]
     n = sum((r.isNotNull().cast("int") for r in ranks[1:]), ranks[0].isNotNull().cast("int"))
     total = sum((F.coalesce(r, F.lit(0)) for r in ranks[1:]), F.coalesce(ranks[0], F.lit(0)))
     g = g.withColumn("mean_rank", F.when(n > 0, total / n))
-    return g.withColumn("rank", F.row_number().over(W.orderBy(F.col("mean_rank").asc_nulls_last(), "first", key))).drop("first")
+    g = numbered(g, [F.col("mean_rank").asc_nulls_last(), "first", key], "rank")
+    return g.withColumn("rank", (F.col("rank") + 1).cast("int")).drop("first")
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with a number from 0 in the given order. Ranges are sorted task by task, written to the shared folder, and numbered
+    from their counts: no task sees more than its range."""
+    path = scratch(df.sparkSession, "ranges")
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    d.write.parquet(path)
+    d = df.sparkSession.read.schema(d.schema).parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    counts = d.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each range
+    before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return d.join(before, "__part").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
 
 
 def pose_ligand(name):
@@ -78,11 +94,11 @@ def pose_ligand(name):
 
 
 def dedup(df: DataFrame, key_col: str, order: list[str]) -> DataFrame:
-    """First row of each trimmed key; rows with an empty or null key all stay."""
+    """First row of each trimmed key; rows with an empty or null key all stay. Keys meet as SHA-256 digests, not as texts."""
     key = F.trim(F.coalesce(F.col(key_col), F.lit("")))
-    keyed = df.withColumn("__k", key)
-    rest = keyed.where("__k <> ''").withColumn("__r", F.row_number().over(W.partitionBy("__k").orderBy(*order))).where("__r = 1").drop("__r")
-    return rest.unionByName(keyed.where("__k = ''")).drop("__k")
+    keyed = df.withColumn("__k", F.when(key != "", F.sha2(key, 256)))
+    rest = keyed.where("__k is not null").withColumn("__r", F.row_number().over(W.partitionBy("__k").orderBy(*order))).where("__r = 1").drop("__r")
+    return rest.unionByName(keyed.where("__k is null")).drop("__k")
 
 
 def duplicate_groups(df: DataFrame, key_col: str, id_col: str) -> DataFrame:
@@ -110,6 +126,15 @@ def random_split(n: int, test: float, val: float, seed: int = 0) -> dict[str, li
     return {"test": sorted(order[:t].tolist()), "validation": sorted(order[t : t + v].tolist()), "train": sorted(order[t + v :].tolist())}
 
 
+def exact_split(df: DataFrame, id_col: str, test: float, val: float, seed: int = 0) -> DataFrame:
+    """Adds split with sizes of exactly round(n * share), in the order of the md5 of seed and id: random_split for tables of
+    any size. Equal ids are in the order of their hash only."""
+    n = df.count()
+    t, v = _sizes(n, test, val)
+    d = numbered(df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))), ["__h", id_col], "__k")
+    return d.withColumn("split", F.when(F.col("__k") < t, "test").when(F.col("__k") < t + v, "validation").otherwise("train")).drop("__h", "__k")
+
+
 def group_split(df: DataFrame, group_col: str, test: float, val: float) -> DataFrame:
     """Adds split so that no group straddles: groups by size, then name, fill train, then validation, then test.
 

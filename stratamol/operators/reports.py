@@ -104,3 +104,22 @@ def structure_report(atoms: DataFrame, cutoff: float = 8.0, key: list[str] = KEY
         "summary": summary_lines(atoms, key), "quality": quality.inventory(atoms, key), "warnings": preflight(atoms, deep=True, key=key), "descriptors": aggregates.descriptors(atoms, key=key),
         "contacts": spatial.contact_counts(residues.representatives(atoms, "ca", key), cutoff, key), "bonds": aggregates.bond_summary(aggregates.bonds(atoms, key=key), key), "ligands": residues.ligands(atoms, key=key),
     }
+
+
+def render(tables: dict[str, DataFrame], title: str, rows: int = 50, html: bool = True) -> str:
+    """A report's tables as one HTML page or Markdown text, the first `rows` rows of each, which it says."""
+    from html import escape
+
+    out = [f"<!doctype html><meta charset='utf-8'><title>{escape(title)}</title><h1>{escape(title)}</h1>" if html else f"# {title}"]
+    for name, df in tables.items():
+        got = df.limit(rows + 1).collect()
+        more = f" (the first {rows} rows)" if len(got) > rows else ""
+        cells = [["" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r] for r in got[:rows]]
+        if html:
+            head = "".join(f"<th>{escape(c)}" for c in df.columns)
+            body = "".join("<tr>" + "".join(f"<td>{escape(c)}" for c in r) for r in cells)
+            out.append(f"<h2>{escape(name)}{more}</h2><table><tr>{head}{body}</table>")
+        else:
+            lines = [df.columns, ["---"] * len(df.columns), *([c.replace("|", "\\|") for c in r] for r in cells)]
+            out.append(f"\n## {name}{more}\n\n" + "\n".join("| " + " | ".join(r) + " |" for r in lines))
+    return "\n".join(out)

@@ -49,7 +49,13 @@ def representatives(atoms: DataFrame, method: str = "ca", key: list[str] = KEY)
     return a.groupBy(*key, F.col("residue_idx").alias("atom_idx")).agg(*(F.first(c).alias(c) for c in own), *(v.alias(k) for k, v in cols.items()))
 
 
-def contact_map(atoms: DataFrame, cutoff: float = 8.0, level: str = "residue", method: str = "ca", min_seq_sep: int = 0, chain_mode: str = "all", key: list[str] = KEY, cells: bool = False) -> DataFrame:
+def is_frequency(values: DataFrame, value: str, difference: bool = False, key: list[str] = KEY) -> DataFrame:
+    """(key, is_frequency): whether a map holds other values than 0 and 1, or -1, 0 and 1 in a difference."""
+    allowed = (-1.0, 0.0, 1.0) if difference else (0.0, 1.0)
+    return values.groupBy(*key).agg(F.bool_or(~F.col(value).cast("double").isin(*allowed)).alias("is_frequency"))
+
+
+def contact_map(atoms: DataFrame, cutoff: float = 8.0, level: str = "residue", method: str = "ca", min_seq_sep: int = 0, chain_mode: str = "all", key: list[str] = KEY, cells: bool = True) -> DataFrame:
     """(key, i, j, d2) of contacts between atoms or residues, i < j.
 
     min_seq_sep drops pairs of one chain whose rows are nearer than that; chain_mode: all, intra or inter."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import dihedral, dot, squared, sub, vec
 from .residues import PARTS, with_residue_index
+from .spatial import cross_pairs
 
 KEY = ["structure_id"]
 #: Charges and factor of the electrostatic energy, its bound, distance bounds.
@@ -50,14 +51,15 @@ def hydrogen_bonds(b: DataFrame, key: list[str] = KEY) -> DataFrame:
     n = F.sqrt(dot(co, co))
     unit = tuple(F.lag(F.try_divide(v, n)).over(w) for v in co)
     b = b.withColumns({f"h_{x}": F.when(F.col("linked"), F.col(f"n_{x}") + u) for x, u in zip("xyz", unit, strict=True)})
-    i = b.select(*key, F.col("r").alias("i"), *(F.col(f"{n}_{x}").alias(f"i{n}_{x}") for n in ("ca", "c", "o") for x in "xyz"))
-    j = b.where("h_x is not null").select(*key, F.col("r").alias("j"), *(F.col(f"{n}_{x}").alias(f"j{n}_{x}") for n in ("ca", "n", "h") for x in "xyz"))
-    p = i.join(j, key).where("i <> j").where(squared(vec("ica_"), vec("jca_")) < CA_BOUND**2)
+    place = [F.col("r").alias("atom_idx"), *(F.col(f"ca_{x}").alias(x) for x in "xyz")]
+    i = b.select(*key, *place, *(f"{n}_{x}" for n in ("c", "o") for x in "xyz"))
+    j = b.where("h_x is not null").select(*key, *place, *(f"{n}_{x}" for n in ("n", "h") for x in "xyz"))
+    p = cross_pairs(i, j, CA_BOUND, key, extra=[f"{n}_{x}" for n in ("c", "o") for x in "xyz"], other=[f"{n}_{x}" for n in ("n", "h") for x in "xyz"]).where("i <> j")
 
     def near(a, c):
         return F.try_divide(F.lit(1.0), F.sqrt(squared(vec(a), vec(c))))
 
-    energy = Q1 * Q2 * FACTOR * (near("io_", "jn_") + near("ic_", "jh_") - near("io_", "jh_") - near("ic_", "jn_"))
+    energy = Q1 * Q2 * FACTOR * (near("i_o_", "j_n_") + near("i_c_", "j_h_") - near("i_o_", "j_h_") - near("i_c_", "j_n_"))
     return p.where(energy < BOUND).select(*key, "i", "j")
 
 

@@ -85,6 +85,13 @@ def select_within(atoms: DataFrame, targets: DataFrame, radius: float, key: list
     return atoms.join(near, [*key, "atom_idx"], "left_semi")
 
 
+def same_parent(parent: DataFrame, *subsets: DataFrame, key: list[str] = KEY) -> None:
+    """Raises unless every row of the subsets is an atom of parent, as set algebra needs; one narrow anti-join each."""
+    for s in subsets:
+        if subtract(s.select(*key, "atom_idx"), parent, key).limit(1).count():
+            raise ValueError("set algebra needs subsets of one table of atoms")
+
+
 def intersect(a: DataFrame, b: DataFrame, key: list[str] = KEY) -> DataFrame:
     return a.join(b.select(*key, "atom_idx").distinct(), [*key, "atom_idx"], "left_semi")
 

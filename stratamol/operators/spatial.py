@@ -1,7 +1,7 @@
 """Distance joins within structures.
 
-Small structures join on their key with the distance as a condition. Large ones join on the key and a grid cell of the
-cutoff's size, so that one structure spreads over tasks and each atom meets 27 cells only.
+Atoms join on their key and a grid cell of the cutoff's size, so that one structure spreads over tasks and each atom meets
+27 cells only. Where all structures are known to be small, cells=False joins on the key alone, which costs less.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import nearest_image
+from ..functions.geometry import nearest_image, nearest_image_cell
 
 KEY = ["structure_id"]
 
@@ -21,10 +21,12 @@ def _side(atoms: DataFrame, key, name: str, extra=()) -> DataFrame:
     return atoms.select(*key, F.col("atom_idx").alias(name), *(F.col(a).alias(f"{name}{a}") for a in "xyz"), *(F.col(c).alias(f"{name}_{c}") for c in extra))
 
 
-def _d2(lengths=None) -> Column:
+def _d2(lengths=None, lattice=None) -> Column:
     d = tuple(F.col(f"i{a}") - F.col(f"j{a}") for a in "xyz")
     if lengths:
         d = nearest_image(d, lengths)
+    if lattice:
+        d = nearest_image_cell(d, lattice)
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
@@ -41,18 +43,17 @@ def _cells(df: DataFrame, name: str, cutoff: float, steps=None) -> DataFrame:
     return df.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"s.{a}") for a in "xyz"}).drop("s")
 
 
-def _joined(a: DataFrame, b: DataFrame, cutoff, key, cells: bool, lengths, before: bool, inclusive: bool = False) -> DataFrame:
-    near = _d2(lengths) <= float(cutoff) ** 2 if inclusive else _d2(lengths) < float(cutoff) ** 2
+def _joined(a: DataFrame, b: DataFrame, cutoff, key, cells: bool, lengths, before: bool, inclusive: bool = False, lattice=None) -> DataFrame:
+    near = _d2(lengths, lattice) <= float(cutoff) ** 2 if inclusive else _d2(lengths, lattice) < float(cutoff) ** 2
     on = list(key)
+    cells = cells and not lengths and not lattice  # cells don't wrap
     if cells:
-        if lengths:
-            raise ValueError("cells don't wrap; leave them out with periodic images")
         a = _cells(a, "i", cutoff, HALF if before else list(product((-1, 0, 1), repeat=3)))
         b, on = _cells(b, "j", cutoff), [*key, "cx", "cy", "cz"]
     pairs = a.join(b, on)
     if before:
         pairs = pairs.where("i < j or not own" if cells else "i < j")
-    pairs = pairs.where(near).withColumn("d2", _d2(lengths))
+    pairs = pairs.where(near).withColumn("d2", _d2(lengths, lattice))
     pairs = pairs.drop("cx", "cy", "cz", "own", *(f"{s}{x}" for s in "ij" for x in "xyz"))
     if before and cells:  # pairs of different cells may come the other way round
         carried = [c[2:] for c in pairs.columns if c.startswith("i_")]
@@ -62,16 +63,18 @@ def _joined(a: DataFrame, b: DataFrame, cutoff, key, cells: bool, lengths, befor
     return pairs
 
 
-def pairs(atoms: DataFrame, cutoff: float, key: list[str] = KEY, cells: bool = False, lengths=None, extra=(), inclusive: bool = False) -> DataFrame:
+def pairs(atoms: DataFrame, cutoff: float, key: list[str] = KEY, cells: bool = True, lengths=None, extra=(), inclusive: bool = False, lattice=None) -> DataFrame:
     """(key, i, j, d2) of all pairs i < j nearer than cutoff (strictly, unless inclusive).
 
-    cells: join on grid cells, for structures of some thousands of atoms or more. lengths: box of an orthogonal periodic
-    cell. extra: columns to carry from both atoms, as i_ and j_. A cutoff of 0 or less gives no pairs."""
-    out = _joined(_side(atoms, key, "i", extra), _side(atoms, key, "j", extra), max(cutoff, 1e-9), key, cells, lengths, True, inclusive)
+    cells: join on grid cells, so that structures of any size spread over tasks; without them, where all are known to be
+    small, on the key alone, to the same result. lengths: box of an orthogonal periodic cell; lattice: rows of a triclinic
+    one; images join on the key. extra: columns to carry from both atoms, as i_ and j_. A cutoff of 0 or less gives no
+    pairs."""
+    out = _joined(_side(atoms, key, "i", extra), _side(atoms, key, "j", extra), max(cutoff, 1e-9), key, cells, lengths, True, inclusive, lattice)
     return out if cutoff > 0 else out.where("false")
 
 
-def cross_pairs(a: DataFrame, b: DataFrame, cutoff: float, key: list[str] = KEY, cells: bool = False, extra=(), other=(), inclusive: bool = False) -> DataFrame:
+def cross_pairs(a: DataFrame, b: DataFrame, cutoff: float, key: list[str] = KEY, cells: bool = True, extra=(), other=(), inclusive: bool = False) -> DataFrame:
     """(key, i, j, d2): atoms i of a and j of b nearer than cutoff; extra and other are carried as i_ and j_."""
     return _joined(_side(a, key, "i", extra), _side(b, key, "j", other), cutoff, key, cells, None, False, inclusive)
 
@@ -82,7 +85,7 @@ def all_distances(atoms: DataFrame, key: list[str] = KEY, lengths=None) -> DataF
     return p.withColumn("d2", _d2(lengths)).drop(*(f"{s}{x}" for s in "ij" for x in "xyz"))
 
 
-def contact_counts(atoms: DataFrame, cutoff: float = 5.0, key: list[str] = KEY, cells: bool = False) -> DataFrame:
+def contact_counts(atoms: DataFrame, cutoff: float = 5.0, key: list[str] = KEY, cells: bool = True) -> DataFrame:
     """(key, n_atoms, n_contacts, density) of every structure; density over all pairs, 0 below two atoms."""
     n = atoms.groupBy(*key).agg(F.count("*").alias("n_atoms"))
     c = pairs(atoms, cutoff, key, cells).groupBy(*key).agg(F.count("*").alias("n_contacts"))

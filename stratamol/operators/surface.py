@@ -13,7 +13,7 @@ from .spatial import KEY, pairs
 PI4 = 12.566370614359172
 
 
-def atom_surface(atoms: DataFrame, probe: float = 1.4, n_points: int = 192, key: list[str] = KEY, cells: bool = False) -> DataFrame:
+def atom_surface(atoms: DataFrame, probe: float = 1.4, n_points: int = 192, key: list[str] = KEY, cells: bool = True) -> DataFrame:
     """(key, atom_idx, sasa): the share of an atom's points inside no neighbour's sphere times the sphere's area.
 
     Each atom's neighbours are gathered once; its points are then tested in one expression, so that no row is made for a

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.elements import AMINO_ACIDS, BACKBONE, IONS, NUCLEOTIDES, SYMBOLS, WATER, is_element
-from ..operators import aggregates, coarse, datasets, ensemble, graph, presets, quality, residues, secondary, select, surface
+from ..operators import aggregates, chemistry, coarse, datasets, ensemble, exports, graph, presets, quality, ranking, residues, secondary, select, spatial, surface
 from ..session import scratch
 from ..sources import formats, writers
 from .adapters import VIEWS, cte, table, view
@@ -248,8 +248,6 @@ def pocket_atoms(spark, sf):
 
 @query(CHAINS + f" SELECT a.structure_id, a.atom_idx AS i, b.atom_idx AS j, {R(D2)} AS d2 {PAIR} WHERE {D2} < 36")
 def contact_pairs_large(spark, sf):
-    from ..operators import spatial
-
     return r6(spatial.pairs(_chains(spark, sf), 6.0, cells=True), "d2")
 
 
@@ -327,8 +325,6 @@ def preset_list(spark, sf):
 
 @query(CHAINS + f" SELECT a.structure_id, a.atom_idx AS i, b.atom_idx AS j, {R(f'sqrt({D2})')} AS distance, 1.0::DOUBLE AS contact_ca, 0.0::DOUBLE AS contact_com, 0.0::DOUBLE AS contact_min {PAIR} WHERE {D2} < 16")
 def contact_edge_features(spark, sf):
-    from ..operators import spatial
-
     return r6(presets.residue_edge_features(spatial.pairs(_chains(spark, sf), 4.0, cells=True), "ca", "ml"), "distance")
 
 
@@ -431,3 +427,89 @@ def structure_readiness(spark, sf):
     """Amino acids with all their backbone: only breaks block."""
     got = quality.readiness(quality.topology(_chains(spark, sf).where("resname <> 'LIG'")))
     return got.select("structure_id", F.array_contains("blockers", "breaks").alias("broken"), F.array_contains("warnings", "gaps").alias("gaps"), "ready")
+
+
+# axes, exports, labels, splits
+
+_LATTICE = [[40.0, 0.0, 0.0], [6.0, 30.0, 0.0], [4.0, 5.0, 25.0]]
+
+
+def _images():
+    """The squared minimum-image distance in the lattice, as SQL."""
+    import numpy as np
+
+    inv = np.linalg.inv(np.array(_LATTICE))
+    d = [f"(a.{c} - b.{c})" for c in "xyz"]
+    frac = ["(" + " + ".join(f"{d[i]} * {float(inv[i][j])!r}::DOUBLE" for i in range(3)) + ")" for j in range(3)]
+    off = [f"({f} - round_even({f}, 0))" for f in frac]
+    parts = ["(" + " + ".join(f"{off[i]} * {_LATTICE[i][j]!r}::DOUBLE" for i in range(3)) + ")" for j in range(3)]
+    return " + ".join(f"{p} * {p}" for p in parts)
+
+
+@query(cte("atoms") + f" SELECT a.structure_id, count(*) AS n_contacts FROM atoms a JOIN atoms b ON a.structure_id = b.structure_id AND a.atom_idx < b.atom_idx WHERE {_images()} < 49 GROUP BY 1")
+def triclinic_contacts(spark, sf):
+    return spatial.pairs(view(spark, sf, "atoms"), 7.0, lattice=_LATTICE).groupBy("structure_id").agg(F.count("*").alias("n_contacts"))
+
+
+@query(CHAINS + _BEADS + ", res AS (SELECT structure_id, residue_idx, any_value(resid) AS resid, any_value(resname) AS resname, any_value(icode) AS icode FROM runs GROUP BY 1, 2) SELECT structure_id, bead_idx, bead_name || ' (' || resid || icode || ' ' || resname || ' ' || chain || ')' AS label FROM beads JOIN res USING (structure_id, residue_idx)")
+def bead_labels(spark, sf):
+    b, _ = _chain_beads(spark, sf)
+    return coarse.labels(b).select("structure_id", "bead_idx", "label")
+
+
+@query("SELECT structure_id, i, j, " + ", ".join(f"CASE label WHEN '{x}' THEN 1.0::DOUBLE ELSE 0.0 END AS interaction_{x}" for x in exports.INTERACTIONS) + " FROM (" + ORACLES["residue_interactions"] + ") e")
+def interaction_columns(spark, sf):
+    from .catalog import QUERIES
+
+    return exports.interaction_one_hot(QUERIES["residue_interactions"](spark, sf))
+
+
+@query("SELECT structure_id, bool_or(frequency NOT IN (0.0, 1.0)) AS is_frequency FROM (" + ORACLES["contact_frequency"] + ") f GROUP BY 1")
+def frequency_maps(spark, sf):
+    from .catalog import QUERIES
+
+    return residues.is_frequency(QUERIES["contact_frequency"](spark, sf), "frequency")
+
+
+@query(cte("atoms") + _BONDS + f""", n AS (SELECT structure_id, count(*) AS n_nodes, {R(f"sum({M} * (atom_idx + 1))")} AS weighted FROM atoms GROUP BY 1), e AS (SELECT structure_id, 2 * count(*) AS n_edges, {R("2 * sum(sqrt(d2))")} AS length, CAST(sum(i * 7 + j * 7) AS BIGINT) AS ends FROM bonds GROUP BY 1)
+ SELECT n.structure_id, n_nodes, weighted, coalesce(n_edges, 0) AS n_edges, coalesce(length, 0.0) AS length, coalesce(ends, 0) AS ends FROM n LEFT JOIN e USING (structure_id)""")
+def graph_array_sums(spark, sf):
+    """Sums over the arrays that tell order and ends apart."""
+    a = view(spark, sf, "atoms")
+    edges = aggregates.bonds(a).select("structure_id", "i", "j", F.sqrt("d2").alias("distance"))
+    g = exports.graph_arrays(graph.node_features(a), edges, ["mass"], ["distance"])
+    weighted = F.aggregate(F.transform("x", lambda f, k: f[0] * (k + 1)), F.lit(0.0), lambda s, v: s + v)
+    length = F.aggregate(F.transform("edge_attr", lambda f: f[0]), F.lit(0.0), lambda s, v: s + v)
+    ends = F.aggregate(F.arrays_zip(F.get("edge_index", 0).alias("a"), F.get("edge_index", 1).alias("b")), F.lit(0).cast("long"), lambda s, v: s + v["a"] * 5 + v["b"] * 2)
+    return g.select("structure_id", F.size("x").cast("long").alias("n_nodes"), F.round(weighted, 6).alias("weighted"), F.size("edge_attr").cast("long").alias("n_edges"), F.round(length, 6).alias("length"), ends.alias("ends"))
+
+
+@query("SELECT p_partkey, CASE WHEN k <= t THEN 'test' WHEN k <= 2 * t THEN 'validation' ELSE 'train' END AS split FROM (SELECT p_partkey, row_number() OVER (ORDER BY md5('5:' || p_partkey), p_partkey) AS k, round_even(count(*) OVER () * 0.1::DOUBLE, 0) AS t FROM part) x")
+def exact_split(spark, sf):
+    return ranking.exact_split(table(spark, sf, "part").select("p_partkey"), "p_partkey", 0.1, 0.1, 5)
+
+
+@query(cte("atoms") + " SELECT structure_id, CAST(sum(atom_idx % 3 - 1) AS BIGINT) AS net_charge, 'as-read' AS origin FROM atoms GROUP BY 1")
+def net_charges(spark, sf):
+    return chemistry.net_charge(view(spark, sf, "atoms").withColumn("formal_charge", F.col("atom_idx") % 3 - 1))
+
+
+@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size <= 30 AND (p_partkey % 7 = 0 OR p_retailprice <= 1500)")
+def property_filters(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice").withColumn("logp", F.when(F.col("p_partkey") % 7 == 0, float("nan")).otherwise(F.col("p_retailprice").cast("double")))
+    return chemistry.property_filter(p, {"p_size": 30, "logp": 1500.0}).drop("logp")
+
+
+@query(cte("ensemble") + ", m AS (SELECT DISTINCT structure_id, model_id FROM ensemble) SELECT structure_id, CAST(row_number() OVER (PARTITION BY structure_id ORDER BY model_id % 3, model_id) - 1 AS INT) AS position, model_id FROM m")
+def cluster_orders(spark, sf):
+    m = view(spark, sf, "ensemble").select("structure_id", "model_id").distinct().withColumn("cluster", F.col("model_id") % 3)
+    return ensemble.cluster_order(m)
+
+
+@query(CHAINS + " SELECT structure_id, chain, count(*) AS n FROM atoms WHERE chain <> 'A' AND element = 'C' GROUP BY 1, 2")
+def checked_algebra(spark, sf):
+    """Set algebra after its parent check."""
+    a = _chains(spark, sf)
+    p, q = select.select(a, chain=["B", "C"]), select.select(a, element="c")
+    select.same_parent(a, p, q)
+    return select.intersect(p, q).groupBy("structure_id", "chain").agg(F.count("*").alias("n"))

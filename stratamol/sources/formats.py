@@ -503,6 +503,34 @@ def read_poses(spark: SparkSession, paths, pattern: str | None = None) -> DataFr
     return poses_of(_files(spark, paths, pattern))
 
 
+def fetch_files(ids: list[str], folder: str, kind: str = "pdb", base: str = "https://files.rcsb.org/download") -> list[str]:
+    """Paths of the files of these accessions in folder, each downloaded if it isn't there yet; ValueError where it can't be."""
+    from pathlib import Path
+    from urllib.error import URLError
+    from urllib.request import urlopen
+
+    if kind not in ("pdb", "cif"):
+        raise ValueError(f"files are pdb or cif, not {kind!r}")
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    out = []
+    for name in (x.lower() for x in ids):
+        path = Path(folder) / f"{name}.{kind}"
+        if not path.exists():
+            try:
+                with urlopen(f"{base}/{name}.{kind}") as answer:
+                    data = answer.read()
+            except (URLError, OSError) as e:
+                raise ValueError(f"{name} can't be had as {kind}: {e}") from e
+            path.write_bytes(data)
+        out.append(str(path))
+    return out
+
+
+def fetch(spark: SparkSession, ids: list[str], folder: str, kind: str = "pdb", base: str = "https://files.rcsb.org/download") -> DataFrame:
+    """Atoms of these accessions; folder must be one that all executors see."""
+    return read_atoms(spark, fetch_files(ids, folder, kind, base))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A molecule table, all cells as text, tab- or comma-separated by extension."""
     return spark.read.csv(path, header=True, sep="\t" if suffix(path) == "tsv" else ",", inferSchema=False, multiLine=True, escape='"')
