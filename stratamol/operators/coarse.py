@@ -22,7 +22,7 @@ def members(atoms: DataFrame, mapping: str | DataFrame = "residue_com", key: lis
     if isinstance(mapping, DataFrame):
         m = mapping.select(F.upper("resname").alias("__r"), F.upper("atom_name").alias("__a"), "bead_name")
         known = mapping.select(F.upper("resname").alias("__r")).distinct().withColumn("__k", F.lit(True))
-        a = a.withColumns({"__r": F.upper("resname"), "__a": name}).join(F.broadcast(known), "__r", "left").join(F.broadcast(m), ["__r", "__a"], "left")
+        a = a.withColumns({"__r": F.upper("resname"), "__a": name}).join(known, "__r", "left").join(m, ["__r", "__a"], "left")
         a = a.withColumn("bead_name", F.when(F.col("__k").isNull(), F.col("resname")).otherwise(F.col("bead_name")))
         return a.where("bead_name is not null").drop("__r", "__a", "__k")
     if mapping == "backbone_sidechain":
@@ -45,7 +45,7 @@ def index_beads(atoms: DataFrame, lists: DataFrame, weighted: bool = True, key:
     """Beads from a table (bead_idx, bead_name, atoms array) that holds for every structure; atoms may be in several."""
     m = mass("element") if weighted else F.lit(1.0)
     x = lists.select("bead_idx", "bead_name", F.explode("atoms").alias("atom_idx"))
-    g = atoms.join(F.broadcast(x), "atom_idx")
+    g = atoms.join(x, "atom_idx")
     return g.groupBy(*key, "bead_idx", "bead_name").agg(*((F.sum(m * F.col(c)) / F.sum(m)).alias(c) for c in "xyz"), F.count("*").alias("n_atoms"))
 
 
@@ -85,7 +85,7 @@ def virtual_sites(bead: DataFrame, sites: DataFrame, key: list[str] = KEY) -> Da
     Weights are normalised; a site whose weights add up to 0 has no place."""
     w = F.coalesce("weights", F.transform("parents", lambda p: F.lit(1.0)))
     s = sites.select("site_name", F.explode(F.arrays_zip(F.col("parents").alias("p"), w.alias("w"))).alias("z")).select("site_name", F.col("z.p").alias("bead_idx"), F.col("z.w").alias("w"))
-    g = bead.join(F.broadcast(s), "bead_idx").groupBy(*key, "site_name").agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.col(x)).alias(x) for x in "xyz"))
+    g = bead.join(s, "bead_idx").groupBy(*key, "site_name").agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.col(x)).alias(x) for x in "xyz"))
     return g.select(*key, "site_name", *(F.when(F.col("w") != 0, F.col(x) / F.col("w")).alias(x) for x in "xyz"))
 
 
