@@ -187,9 +187,45 @@ def maxmin(m: np.ndarray, n: int) -> list[int]:
     return picks
 
 
+def _reduced(df: DataFrame, id_col: str, features: list[str] | str, n: int, standardise: bool) -> DataFrame:
+    """(id, __f): whole rows, standardised over all of them; above DRIVER_ROWS only n of each task, until few enough are left."""
+    f = F.transform(F.col(features), lambda x: x.cast("double")) if isinstance(features, str) else F.array(*[F.col(c).cast("double") for c in features])
+    d = df.select(id_col, f.alias("__f")).where(F.forall("__f", lambda x: x.isNotNull() & ~F.isnan(x)))
+    if standardise:
+        each = d.select(F.posexplode("__f").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+        rows = sorted((r["k"], r["m"], r["s"] or 1.0) for r in each.collect())  # a row for each dimension
+        scale = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for _, m, s in rows]).cast("array<struct<m:double,s:double>>")
+        d = d.select(id_col, F.zip_with("__f", scale, lambda x, s: (x - s["m"]) / s["s"]).alias("__f"))
+
+    def picked(frames):
+        import pandas as pd
+
+        held = None
+        for pdf in frames:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(held) > n:
+                held = held.sort_values(id_col).reset_index(drop=True)
+                held = held.iloc[sorted(maxmin(np.array(held["__f"].tolist()), n))]
+        if held is not None:
+            yield held
+
+    while d.limit(DRIVER_ROWS + 1).count() > DRIVER_ROWS:
+        path, before = scratch(df.sparkSession, "picked"), d.rdd.getNumPartitions()
+        d.mapInPandas(picked, d.schema).write.parquet(path)
+        d = df.sparkSession.read.parquet(path).coalesce(max(1, before // 8))
+    return d
+
+
 def select_diverse(df: DataFrame, id_col: str, features: list[str] | str, n: int, standardise: bool = True) -> DataFrame:
-    """(id, pick) of n rows by MaxMin; rows with a missing feature don't take part. The order is sequential, so the
-    features, DRIVER_ROWS rows at most, go to the driver."""
+    """(id, pick) of n rows by MaxMin; rows with a missing feature don't take part.
+
+    The order is sequential, so the features go to the driver. Of more than DRIVER_ROWS rows only those go that each task
+    picks first, n of its own by the same rule: picks of picks are at most twice as near to each other as the best."""
+    if n > DRIVER_ROWS:
+        raise ValueError(f"{DRIVER_ROWS} picks at most")
+    if standardise or df.limit(DRIVER_ROWS + 1).count() > DRIVER_ROWS:
+        df = _reduced(df, id_col, features, n, standardise)
+        features, standardise = "__f", False
     ids, m = _matrix(df, id_col, features)
     ok = ~np.isnan(m).any(1)
     ids, m = ids[ok], m[ok]

@@ -325,7 +325,11 @@ def group_split(spark, sf):
     return ranking.group_split(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand", 0.1, 0.1)
 
 
-@query()
+# the distances are summed dimension by dimension, as in the operator
+@query("""WITH RECURSIVE u AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s FROM u GROUP BY k),
+ z AS (SELECT vec_id, list((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY k) AS z FROM u JOIN s USING (k) GROUP BY vec_id), f AS (SELECT arg_max(vec_id, list_sum(list_transform(z, lambda x: x * x))) AS first FROM z),
+ r AS (SELECT 0 AS pick, first AS cur, [first] AS picked FROM f UNION ALL SELECT pick + 1, n.vec_id, list_append(picked, n.vec_id) FROM r, LATERAL (SELECT a.vec_id FROM (SELECT a.vec_id, min(list_distance(a.z, b.z)) AS d FROM z a JOIN z b ON list_contains(r.picked, b.vec_id) WHERE NOT list_contains(r.picked, a.vec_id) GROUP BY a.vec_id) a ORDER BY d DESC, vec_id LIMIT 1) n WHERE pick < 19)
+ SELECT cur AS vec_id, pick FROM r""")
 def select_diverse(spark, sf):
     return ranking.select_diverse(table(spark, sf, "embeddings"), "vec_id", "embedding", 20)
 
