@@ -22,9 +22,8 @@ def graph_edges(atoms: DataFrame, kind: str = "bonds", value: float | None = Non
         if kind == "radius":
             e = spatial.pairs(atoms, value or 5.0, key, cells).select(*key, "i", "j", F.sqrt("d2").alias("distance"))
         elif kind == "knn":
-            near = spatial.nearest(atoms, int(value or 8), key)
-            d = spatial.all_distances(atoms, key).withColumn("distance", F.sqrt("d2")).drop("d2")
-            e = near.join(d, [*key, "i", "j"])
+            near = spatial.nearest(atoms, int(value or 8), key, cells, distances=True)
+            e = near.select(*key, "i", "j", F.sqrt("d2").alias("distance"))
         else:
             raise ValueError(f"edges are bonds, radius or knn, not {kind!r}")
         flags = bonds.select(*key, "i", "j", F.lit(True).alias("covalent"))

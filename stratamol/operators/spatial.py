@@ -94,19 +94,61 @@ def contact_counts(atoms: DataFrame, cutoff: float = 5.0, key: list[str] = KEY,
     return out.withColumn("density", F.when(most > 0, F.col("n_contacts") / most).otherwise(0.0))
 
 
-def nearest(atoms: DataFrame, k: int, key: list[str] = KEY) -> DataFrame:
-    """(key, i, j): each atom joined to its k nearest, made symmetric; ties go to the lower index."""
-    p = all_distances(atoms, key)
-    both = p.unionByName(p.select(*key, F.col("j").alias("i"), F.col("i").alias("j"), "d2"))
-    rank = F.row_number().over(W.partitionBy(*key, "i").orderBy("d2", "j"))
-    top = both.withColumn("r", rank).where(F.col("r") <= k)
-    return top.select(*key, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+def nearest(atoms: DataFrame, k: int, key: list[str] = KEY, cells: bool = True, distances: bool = False) -> DataFrame:
+    """(key, i, j): each atom joined to its k nearest, made symmetric; ties go to the lower index. distances adds d2.
+
+    cells: a radius that should hold 2k atoms at the structure's mean density is tried on grid cells first; only atoms that
+    have fewer than k within it meet their whole structure. Without cells all do, to the same result."""
+
+    def top(p):
+        rank = F.row_number().over(W.partitionBy(*key, "i").orderBy("d2", "j"))
+        return p.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+    if cells:
+        box = [F.greatest(F.max(a) - F.min(a), F.lit(1.0)) for a in "xyz"]
+        reach = F.cbrt(0.2387 * 2 * (k + 1) * box[0] * box[1] * box[2] / F.count("*"))
+        a = atoms.select(*key, "atom_idx", "x", "y", "z").join(atoms.groupBy(*key).agg(reach.alias("reach")), key)
+        at = {f"c{x}": F.floor(F.col(x) / F.col("reach")).cast("long") for x in "xyz"}
+        i = _side(a.withColumns(at), key, "i", ["reach", "cx", "cy", "cz"])
+        moves = F.explode(F.array(*[F.struct(*(F.lit(m).alias(x) for m, x in zip(t, "xyz", strict=True))) for t in product((-1, 0, 1), repeat=3)]))
+        i = i.withColumn("s", moves).withColumns({f"c{x}": F.col(f"i_c{x}") + F.col(f"s.{x}") for x in "xyz"}).drop("s", "i_cx", "i_cy", "i_cz")
+        j = _side(a.withColumns(at), key, "j", ["cx", "cy", "cz"]).withColumnsRenamed({f"j_c{x}": f"c{x}" for x in "xyz"})
+        near = i.join(j, [*key, "cx", "cy", "cz"]).where("i <> j").withColumn("d2", _d2()).where(F.col("d2") < F.col("i_reach") * F.col("i_reach"))
+        near = near.select(*key, "i", "j", "d2")
+        enough = near.groupBy(*key, "i").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(*key, "i")
+        rest = _side(atoms, key, "i").join(enough, [*key, "i"], "left_anti").join(_side(atoms, key, "j"), key).where("i <> j").withColumn("d2", _d2()).select(*key, "i", "j", "d2")
+        both = top(near.join(enough, [*key, "i"], "left_semi")).unionByName(top(rest))
+    else:
+        p = all_distances(atoms, key)
+        both = top(p.unionByName(p.select(*key, F.col("j").alias("i"), F.col("i").alias("j"), "d2")))
+    return both.select(*key, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), *(["d2"] if distances else [])).distinct()
+
+
+#: Vectors of the second table in a block.
+BLOCK = 500
 
 
 def vector_distances(a: DataFrame, b: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(i, j, distance) between the rows of two vector tables: b must be a small, stated query set."""
-    x = a.select(F.col(id_col).alias("i"), F.col(vec_col).alias("u"))
-    y = b.select(F.col(id_col).alias("j"), F.col(vec_col).alias("v"))
-    parts = F.zip_with("u", "v", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double")))
-    total = F.aggregate(parts, F.lit(0.0), lambda s, t: s + t)
-    return x.join(F.broadcast(y)).select("i", "j", F.sqrt(total).alias("distance"))
+    """(i, j, distance) between all rows of two vector tables: b is a stated query set, which meets a in blocks.
+
+    Blocks of b's vectors are rows; Spark broadcasts them or not by their size, and each row of a is held against a block at
+    once. A null vector, or one of another length, has no distances."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = [df.schema[id_col].dataType.simpleString() for df in (a, b)]
+    x = a.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("i"), F.transform(vec_col, lambda v: v.cast("double")).alias("u"))
+    y = b.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("j"), F.transform(vec_col, lambda v: v.cast("double")).alias("v"))
+    n = max(1, -(-y.count() // BLOCK))
+    blocks = y.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("j"), F.lit(n)).alias("block")).agg(F.collect_list("j").alias("js"), F.flatten(F.collect_list("v")).alias("vs"))
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for i, u, js, vs in zip(pdf["i"], pdf["u"], pdf["js"], pdf["vs"], strict=True):
+                d = np.asarray(vs).reshape(len(js), -1) - np.asarray(u)
+                out.append(pd.DataFrame({"i": i, "j": js, "distance": np.sqrt((d * d).sum(1))}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return x.join(blocks, F.size("u") == F.col("dim")).select("i", "u", "js", "vs").mapInPandas(run, f"i {kinds[0]}, j {kinds[1]}, distance double")

@@ -156,7 +156,7 @@ def bond_summary(spark, sf):
 
 @query(cte("atoms") + f", d AS (SELECT a.structure_id, a.atom_idx AS i, b.atom_idx AS j, row_number() OVER (PARTITION BY a.structure_id, a.atom_idx ORDER BY {D2}, b.atom_idx) AS r FROM atoms a JOIN atoms b ON a.structure_id = b.structure_id AND a.atom_idx <> b.atom_idx) SELECT DISTINCT structure_id, least(i, j) AS i, greatest(i, j) AS j FROM d WHERE r <= 3")
 def nearest_neighbours(spark, sf):
-    return spatial.nearest(view(spark, sf, "atoms"), 3)
+    return spatial.nearest(view(spark, sf, "atoms"), 3, cells=False)
 
 
 @query(cte("atoms") + RUNS + f" SELECT a.structure_id, count(*) AS n_polar FROM runs a JOIN runs b ON a.structure_id = b.structure_id AND a.atom_idx < b.atom_idx WHERE a.element IN ('N', 'O') AND b.element IN ('N', 'O') AND {D2} >= 6.25 AND {D2} < 12.25 AND a.residue_idx <> b.residue_idx GROUP BY 1")

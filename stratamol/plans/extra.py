@@ -513,3 +513,9 @@ def checked_algebra(spark, sf):
     p, q = select.select(a, chain=["B", "C"]), select.select(a, element="c")
     select.same_parent(a, p, q)
     return select.intersect(p, q).groupBy("structure_id", "chain").agg(F.count("*").alias("n"))
+
+
+@query(CHAINS + f""", p AS (SELECT a.structure_id, a.atom_idx AS i, b.atom_idx AS j, row_number() OVER (PARTITION BY a.structure_id, a.atom_idx ORDER BY {D2}, b.atom_idx) AS r FROM atoms a JOIN atoms b ON a.structure_id = b.structure_id AND a.atom_idx <> b.atom_idx QUALIFY r <= 4)
+ SELECT DISTINCT structure_id, least(i, j) AS i, greatest(i, j) AS j FROM p""")
+def nearest_large(spark, sf):
+    return spatial.nearest(_chains(spark, sf), 4)
