@@ -88,3 +88,49 @@ def test_trie():
                     if a != b and 100 * i >= 85 * (sizes[a] + sizes[b] - i):
                         comp[a] = comp[b] = min(comp[a], comp[b])
         assert trie_components(sizes, sets) == comp
+
+
+def test_trie_of_two_sides():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        base = rng.choice(60, 24, replace=False)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(19, 25)], rng.integers(100, 106, 2)])).astype(np.int64) for _ in range(18)]
+        sizes, sides = [len(s) for s in sets], rng.integers(1, 3, 18).tolist()
+        comp = list(range(18))
+        for _ in range(18):
+            for a in range(18):
+                for b in range(18):
+                    i = len(np.intersect1d(sets[a], sets[b]))
+                    if sides[a] != sides[b] and 100 * i >= 85 * (sizes[a] + sizes[b] - i):
+                        comp[a] = comp[b] = min(comp[a], comp[b])
+        assert trie_components(sizes, sets, sides=sides) == comp
+
+
+def test_packed_rows_of_large_numbers():
+    import pyarrow as pa
+
+    import stratamol.llm.jaccard as j
+
+    tok, idx, many = np.arange(5, dtype=np.uint64) << np.uint64(60), np.array([0, 1, 70_000, 2, 3]), np.array([1 << 63], np.uint64)
+    for top in (9, 1 << 20):
+        t = pa.Table.from_batches([j._batch([j._row(3, 1 << 40, [5, -6], [7, 8], tok, idx, many, [top])])])
+        assert j._sized(t, "idx", [5])[0].tolist() == idx.tolist() and j._sized(t, "counts", [1])[0].tolist() == [top]
+        assert j._column(t, "tok", np.uint64)[0].tolist() == tok.tolist() and j._joined_column(t, "keys", np.int64).tolist() == [5, -6]
+
+
+def test_frequent_shingles_over_many_packs(spark, monkeypatch):
+    """A passage in most texts, small packs and many tasks: counts above those of a pack, heads and singles together."""
+    import stratamol.llm.jaccard as j
+
+    monkeypatch.setattr(j, "PACK", 400)
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        own = [f"d{i // 3 if i % 3 < 2 else i}w{k}" for k in range(rng.choice([3, 30, 90]) if i % 3 != 1 else len(rows[-1][1].split()) - 40)]
+        if i % 3 == 1 and len(own) > 20:
+            own[rng.randrange(len(own))] = "changed"
+        rows.append((i, " ".join(passage + own)))
+    docs = spark.createDataFrame([(a, b, None, None) for a, b in rows], SCHEMA).repartition(9)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(docs).collect()}
+    assert got == brute(rows)
