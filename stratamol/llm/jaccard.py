@@ -79,13 +79,29 @@ _EMPTY = np.zeros(0, np.uint64)
 
 
 def _row(part, pack, keys=_EMPTY, ns=_EMPTY, tok=_EMPTY, idx=_EMPTY, many=_EMPTY, counts=_EMPTY):
-    """A packed row. idx and counts take 2 bytes each where all fit; how many there are follows from tok, many and counts."""
+    """A packed row. Numbers take 1, 2 or 4 bytes each where all fit.
 
-    def small(x):
-        return np.asarray(x).astype(np.uint16 if np.max(x, initial=0) < 1 << 16 else np.uint32)
+    Without keys the occurrences (tok, idx, and as many of counts) are put in the order of idx, so that idx can go as a number
+    of occurrences for each set, where that is shorter. Its first byte tells the form: the bytes of a number, and 8 more for
+    numbers of occurrences."""
 
-    cols = (np.asarray(keys, np.int64), np.asarray(ns, np.int64), tok.astype(np.uint64), small(idx), many.astype(np.uint64), small(counts))
-    return [int(part), int(pack), *(x.tobytes() for x in cols)]
+    def small(x):
+        top = np.max(x, initial=0)
+        return np.asarray(x).astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+
+    idx, counts, form = np.asarray(idx), np.asarray(counts), 0
+    if not len(keys) and len(idx):
+        order = np.argsort(idx, kind="stable")
+        tok, idx = tok[order], idx[order]
+        if len(counts) > len(many):
+            counts = np.concatenate((counts[: len(idx)][order], counts[len(idx) :]))
+        each = small(np.bincount(idx.astype(np.int64)))
+        if each.nbytes < small(idx).nbytes:
+            idx, form = each, 8
+    idx, counts = small(idx), small(counts)
+    cols = (np.asarray(keys, np.int64), np.asarray(ns, np.int64), tok.astype(np.uint64), many.astype(np.uint64))
+    keys, ns, tok, many = (x.tobytes() for x in cols)
+    return [int(part), int(pack), keys, ns, tok, bytes([idx.itemsize + form]) + idx.tobytes(), many, counts.tobytes()]
 
 
 def _batch(rows):
@@ -96,15 +112,28 @@ def _column(table, name, kind):
     return [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
 
 
+_KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+
+
 def _sized(table, name, numbers):
-    """The values of each row, whose number is known: 2 or 4 bytes each."""
-    return [np.frombuffer(x.as_py(), np.uint16 if len(x.as_py()) == 2 * n else np.uint32) for x, n in zip(table.column(name), numbers, strict=True)]
+    """The values of each row, whose number is known: 1, 2 or 4 bytes each."""
+    return [np.frombuffer(x.as_py(), _KINDS[len(x.as_py()) // n if n else 1]) for x, n in zip(table.column(name), numbers, strict=True)]
 
 
 def _joined_column(table, name, kind):
     return np.concatenate([np.zeros(0, kind), *_column(table, name, kind)])
 
 
+def _idx(table):
+    """The set of each occurrence, row by row."""
+    out = []
+    for x in table.column("idx"):
+        raw = x.as_py()
+        v = np.frombuffer(raw, _KINDS[raw[0] & 7], offset=1)
+        out.append(np.repeat(np.arange(len(v), dtype=np.uint32), v) if raw[0] & 8 else v)
+    return out
+
+
 def _dealt(docs, k, parts, id_col, text_col):
     """Rows of packs. Of each pack a head: its sets' keys and sizes, and the shingles many of them have (many, counts, and
     idx, their sets); and for each hash partition (tok, idx) with idx the set in the pack, and (many, counts)."""
@@ -167,7 +196,7 @@ def _shared(table: pa.Table) -> pa.Table:
     rows = [list(r) for r in heads]
     table = table.filter(pa.array([not len(x.as_py()) for x in table.column("keys")]))
     toks, manys = _column(table, "tok", np.uint64), _column(table, "many", np.uint64)
-    idxs, counts = _sized(table, "idx", map(len, toks)), _sized(table, "counts", map(len, manys))
+    idxs, counts = _idx(table), _sized(table, "counts", map(len, manys))
     every = np.concatenate([_EMPTY, *toks, *manys])
     weight = np.concatenate([np.ones(sum(map(len, toks)), np.uint32), *counts])
     order = np.argsort(every, kind="stable")
@@ -201,7 +230,7 @@ def _candidates(percent: int):
         keys, ns = _joined_column(head, "keys", np.int64), _joined_column(head, "ns", np.int64)
         table = table.filter(pa.array([not x for x in is_head]))
         toks, manys = _column(table, "tok", np.uint64), _column(table, "many", np.uint64)
-        idxs, counts = _sized(table, "idx", map(len, toks)), _sized(table, "counts", [len(t) + len(m) for t, m in zip(toks, manys, strict=True)])
+        idxs, counts = _idx(table), _sized(table, "counts", [len(t) + len(m) for t, m in zip(toks, manys, strict=True)])
         none = np.zeros(0, np.uint16)
         tok, row = np.concatenate([_EMPTY, *toks]), np.concatenate([none, *idxs])
         df = np.concatenate([none, *(c[: len(t)] for c, t in zip(counts, toks, strict=True))])
@@ -210,7 +239,7 @@ def _candidates(percent: int):
         order = np.argsort(many)
         heads = _column(head, "many", np.uint64)
         numbers = _sized(head, "counts", map(len, heads))
-        own, own_n, who = np.concatenate([_EMPTY, *heads]), np.concatenate([none, *numbers]), np.concatenate([none, *_sized(head, "idx", [int(n.sum()) for n in numbers])])
+        own, own_n, who = np.concatenate([_EMPTY, *heads]), np.concatenate([none, *numbers]), np.concatenate([none, *_idx(head)])
         if len(own):
             own_df = many_df[order][np.searchsorted(many[order], own)]
             tok, row, df = np.concatenate((tok, np.repeat(own, own_n))), np.concatenate((row, who)), np.concatenate((df, np.repeat(own_df, own_n)))

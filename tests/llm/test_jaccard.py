@@ -111,11 +111,17 @@ def test_packed_rows_of_large_numbers():
 
     import stratamol.llm.jaccard as j
 
-    tok, idx, many = np.arange(5, dtype=np.uint64) << np.uint64(60), np.array([0, 1, 70_000, 2, 3]), np.array([1 << 63], np.uint64)
-    for top in (9, 1 << 20):
-        t = pa.Table.from_batches([j._batch([j._row(3, 1 << 40, [5, -6], [7, 8], tok, idx, many, [top])])])
-        assert j._sized(t, "idx", [5])[0].tolist() == idx.tolist() and j._sized(t, "counts", [1])[0].tolist() == [top]
-        assert j._column(t, "tok", np.uint64)[0].tolist() == tok.tolist() and j._joined_column(t, "keys", np.int64).tolist() == [5, -6]
+    many = np.array([1 << 63], np.uint64)
+    for idx in ([0, 1, 70_000, 2, 3], [0, 2, 2, 0, 2] * 40, [], [5], [1] * 300 + [0] * 70_000):
+        tok = np.arange(len(idx), dtype=np.uint64) << np.uint64(40)
+        for top in (9, 1 << 10, 1 << 20):
+            for keys in ([], [5, -6]):
+                df = [*range(2, 2 + len(idx)), top]
+                t = pa.Table.from_batches([j._batch([j._row(3, 1 << 40, keys, keys, tok, idx, many, df)])])
+                got, of = j._column(t, "tok", np.uint64)[0], j._idx(t)[0]
+                counts = j._sized(t, "counts", [len(idx) + 1])[0]
+                assert sorted(zip(got.tolist(), of.tolist(), counts.tolist(), strict=False)) == sorted(zip(tok.tolist(), idx, df, strict=False))
+                assert counts[-1] == top and j._joined_column(t, "keys", np.int64).tolist() == keys
 
 
 def test_frequent_shingles_over_many_packs(spark, monkeypatch):
