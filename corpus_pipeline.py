@@ -35,6 +35,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     alone = F.col("n_shingles") == 0
     group = [F.when(~alone, F.col("component_id")).alias("c"), F.when(alone, F.col("doc_id")).alias("i"), F.when(alone, F.col("h")).alias("t")]
     kept = named.groupBy(*group).agg(F.min(F.struct("doc_id", "h", "row"))["row"].alias("row")).select("row", F.lit(True).alias("first"))
+    kept = materialise(kept, "kept")  # its size is known then: while it is small, texts aren't shuffled to meet it
     return rows.join(kept, "row", "left").where("first or doc_id is null").select(*COLUMNS)
 
 
