@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from stratamol.plans import catalog
+from stratamol.plans import catalog, extra  # noqa: F401 (extra adds its queries)
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the tables")
