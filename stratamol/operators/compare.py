@@ -34,7 +34,8 @@ def deviations(pairs: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 
 def largest(dev: DataFrame, n: int = 5, key: list[str] = KEY) -> DataFrame:
-    r = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("rmsd"), "run"))
+    """The n largest deviations; equal ones, but for the last bits of their squares, by their place."""
+    r = F.row_number().over(W.partitionBy(*key).orderBy(F.round(F.col("rmsd") * F.col("rmsd"), 9).desc(), "run"))
     return dev.withColumn("__r", r).where(F.col("__r") <= n).drop("__r")
 
 
