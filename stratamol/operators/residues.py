@@ -33,7 +33,8 @@ def chains(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 
 def representatives(atoms: DataFrame, method: str = "ca", key: list[str] = KEY) -> DataFrame:
-    """A point for each residue: its first CA, its centre of mass (com), or without a CA its centroid. atom_idx is residue_idx."""
+    """A point for each residue: its first CA, its centre of mass (com), or without a CA its centroid. atom_idx is residue_idx;
+    hetero, where atoms have it, tells whether any atom is one."""
     a = atoms if "residue_idx" in atoms.columns else with_residue_index(atoms, key)
     ca = F.upper("atom_name") == "CA"
     m = mass("element")
@@ -46,7 +47,8 @@ def representatives(atoms: DataFrame, method: str = "ca", key: list[str] = KEY)
         else:
             raise ValueError(f"method is ca or com, not {method!r}")
     own = [c for c in PARTS if c in a.columns]
-    return a.groupBy(*key, F.col("residue_idx").alias("atom_idx")).agg(*(F.first(c).alias(c) for c in own), *(v.alias(k) for k, v in cols.items()))
+    het = [F.bool_or("hetero").alias("hetero")] if "hetero" in a.columns else []
+    return a.groupBy(*key, F.col("residue_idx").alias("atom_idx")).agg(*(F.first(c).alias(c) for c in own), *het, *(v.alias(k) for k, v in cols.items()))
 
 
 def is_frequency(values: DataFrame, value: str, difference: bool = False, key: list[str] = KEY) -> DataFrame:
@@ -55,18 +57,21 @@ def is_frequency(values: DataFrame, value: str, difference: bool = False, key: l
     return values.groupBy(*key).agg(F.bool_or(~F.col(value).cast("double").isin(*allowed)).alias("is_frequency"))
 
 
-def contact_map(atoms: DataFrame, cutoff: float = 8.0, level: str = "residue", method: str = "ca", min_seq_sep: int = 0, chain_mode: str = "all", key: list[str] = KEY, cells: bool = True) -> DataFrame:
+def contact_map(atoms: DataFrame, cutoff: float = 8.0, level: str = "residue", method: str = "ca", min_seq_sep: int = 0, chain_mode: str = "all", key: list[str] = KEY, cells: bool = True, carry=()) -> DataFrame:
     """(key, i, j, d2) of contacts between atoms or residues, i < j.
 
-    min_seq_sep drops pairs of one chain whose rows are nearer than that; chain_mode: all, intra or inter."""
+    carry: columns of both ends, as i_ and j_, of atoms or of representatives(); not with method min. min_seq_sep drops pairs of one chain whose rows are nearer than that; chain_mode: all, intra or inter."""
+    extra = list(dict.fromkeys(["chain", *carry]))
+    if carry and level != "atom" and method == "min":
+        raise ValueError("columns of residues are carried with method ca or com")
     if level == "atom":
-        p = pairs(atoms, cutoff, key, cells, extra=["chain"])
+        p = pairs(atoms, cutoff, key, cells, extra=extra)
     elif method == "min":
         a = with_residue_index(atoms, key)
         q = pairs(a, cutoff, key, cells, extra=["residue_idx", "chain"]).where("i_residue_idx <> j_residue_idx")
         p = q.groupBy(*key, F.col("i_residue_idx").alias("i"), F.col("j_residue_idx").alias("j")).agg(F.min("d2").alias("d2"), F.first("i_chain").alias("i_chain"), F.first("j_chain").alias("j_chain"))
     else:
-        p = pairs(representatives(atoms, method, key), cutoff, key, cells, extra=["chain"])
+        p = pairs(representatives(atoms, method, key), cutoff, key, cells, extra=extra)
     same = F.col("i_chain") == F.col("j_chain")
     if chain_mode not in ("all", "intra", "inter"):
         raise ValueError(f"chain_mode is all, intra or inter, not {chain_mode!r}")
@@ -74,7 +79,7 @@ def contact_map(atoms: DataFrame, cutoff: float = 8.0, level: str = "residue", m
         p = p.where(same if chain_mode == "intra" else ~same)
     if min_seq_sep > 0:
         p = p.where(~(same & (F.col("j") - F.col("i") < min_seq_sep)))
-    return p.select(*key, "i", "j", "d2")
+    return p.select(*key, "i", "j", "d2", *(f"{s}_{c}" for s in "ij" for c in carry))
 
 
 def sequence_separation(edges: DataFrame, least: int) -> DataFrame:
