@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.elements import covalent_radius
 from ..sources import formats
-from . import aggregates, graph, ranking, spatial
+from . import aggregates, graph, ranking, residues, spatial
 
 KEY = ["structure_id"]
 
@@ -15,6 +16,8 @@ def graph_edges(atoms: DataFrame, kind: str = "bonds", value: float | None = Non
     """(key, i, j, distance, covalent) by one rule: bonds (tolerance), radius (distance) or knn (number).
 
     min_seq_sep drops edges of one chain whose residue numbers differ by less."""
+    if kind == "radius" and explicit is None:
+        return _radius_edges(atoms, value or 5.0, min_seq_sep, key, cells)
     bonds = aggregates.bonds(atoms, explicit, value if kind == "bonds" and value else 1.2, key, cells)
     if kind == "bonds":
         e = bonds.select(*key, "i", "j", F.sqrt("d2").alias("distance")).withColumn("covalent", F.lit(True))
@@ -36,6 +39,16 @@ def graph_edges(atoms: DataFrame, kind: str = "bonds", value: float | None = Non
     return e
 
 
+def _radius_edges(atoms: DataFrame, cutoff: float, min_seq_sep: int, key: list[str], cells: bool) -> DataFrame:
+    """graph_edges() by radius in one pass over the pairs, which carry all that tells bonds and neighbours in sequence."""
+    a = atoms.withColumn("radius", covalent_radius("element"))
+    p = spatial.pairs(a, cutoff, key, cells, extra=["radius", *(["chain", "resid"] if min_seq_sep else [])])
+    if min_seq_sep:
+        p = residues.sequence_separation(p, min_seq_sep)
+    bond = F.coalesce(F.sqrt("d2") < 1.2 * (F.col("i_radius") + F.col("j_radius")), F.lit(False))
+    return p.select(*key, "i", "j", F.sqrt("d2").alias("distance"), bond.alias("covalent"))
+
+
 def content_keys(spark: SparkSession, paths, options: str) -> DataFrame:
     """(path, cache_key): sha1 of the options and the file's bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
