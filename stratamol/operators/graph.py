@@ -15,6 +15,8 @@ from .residues import PARTS, with_residue_index
 from .spatial import pairs
 
 KEY = ["structure_id"]
+#: What interactions() needs to know of an edge's residues.
+ENDS = ("chain", "resid", "resname", "hetero")
 #: Valence by element, below four neighbours and from four on; other elements have that of their neighbours.
 VALENCE = {"H": (1, 1), "F": (1, 1), "CL": (1, 1), "BR": (1, 1), "I": (1, 1), "O": (2, 2), "SE": (2, 2), "TE": (2, 2), "S": (2, 6), "N": (3, 4), "P": (3, 5), "AS": (3, 5), "SB": (3, 5), "C": (4, 4), "SI": (4, 4), "GE": (4, 4), "SN": (4, 4), "PB": (4, 4)}
 
@@ -188,7 +190,9 @@ def bond_orders(bonds: DataFrame, atoms: DataFrame, key: list[str] = KEY) -> Dat
 
 def interactions(atoms: DataFrame, edges: DataFrame, key: list[str] = KEY) -> DataFrame:
     """(key, i, j, label) of residue edges, the first that holds of: disulfide, ligand, salt_bridge, covalent, hydrophobic,
-    polar, proximity."""
+    polar, proximity.
+
+    Edges that carry ENDS of both residues, as contact_map() gives them, are not joined to their residues."""
     a = with_residue_index(atoms, key)
     name, atom = F.upper("resname"), F.upper("atom_name")
     side = ~atom.isin("N", "CA", "C", "O", "OXT") & (F.upper("element") != "H")
@@ -199,20 +203,24 @@ def interactions(atoms: DataFrame, edges: DataFrame, key: list[str] = KEY) -> Da
     g = p.groupBy(*key, F.col("i_residue_idx").alias("i"), F.col("j_residue_idx").alias("j")).agg(
         F.min(F.when(F.col("i_sg") & F.col("j_sg"), F.col("d2"))).alias("ss"), F.min(F.when(F.col("i_sign") * F.col("j_sign") < 0, F.col("d2"))).alias("salt"), F.min(F.when(F.col("i_side") & F.col("j_side"), F.col("d2"))).alias("sc"),
     )
-    r = a.groupBy(*key, "residue_idx").agg(*(F.first(c).alias(c) for c in PARTS), F.bool_or("hetero").alias("hetero"))
-    e = edges.select(*key, "i", "j").join(g, [*key, "i", "j"], "left")
-    for s in "ij":
-        e = e.join(r.select(*key, F.col("residue_idx").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in (*PARTS, "hetero"))), [*key, s])
+    e, ends = edges, [f"{s}_{c}" for s in "ij" for c in ENDS]
+    if not set(ends) <= set(edges.columns):
+        e = edges.select(*key, "i", "j")
+        r = a.groupBy(*key, "residue_idx").agg(*(F.first(c).alias(c) for c in PARTS), F.bool_or("hetero").alias("hetero"))
+        for s in "ij":
+            e = e.join(r.select(*key, F.col("residue_idx").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ENDS)), [*key, s])
 
     def each(test):
         return test("i") & test("j")
 
     ligand = [F.col(f"{s}_hetero") & ~F.upper(f"{s}_resname").isin(*WATER) for s in "ij"]
     near = (F.col("i_chain") == F.col("j_chain")) & (F.abs(F.col("i_resid") - F.col("j_resid")) == 1)
+    greasy, polar = (each(lambda s, names=names: F.upper(f"{s}_resname").isin(*names)) for names in (GRAPH_HYDROPHOBIC, GRAPH_POLAR))
+    e = e.select(*key, "i", "j", (ligand[0] | ligand[1]).alias("ligand"), near.alias("near"), greasy.alias("greasy"), polar.alias("polar"))
+    e = e.join(g, [*key, "i", "j"], "left")  # narrow rows: residues' names have served
     label = (
-        F.when(F.col("ss") < 2.5**2, "disulfide").when(ligand[0] | ligand[1], "ligand").when(F.col("salt") < 16.0, "salt_bridge").when(near, "covalent")
-        .when((F.col("sc") < 25.0) & each(lambda s: F.upper(f"{s}_resname").isin(*GRAPH_HYDROPHOBIC)), "hydrophobic")
-        .when((F.col("sc") < 25.0) & each(lambda s: F.upper(f"{s}_resname").isin(*GRAPH_POLAR)), "polar").otherwise("proximity")
+        F.when(F.col("ss") < 2.5**2, "disulfide").when(F.col("ligand"), "ligand").when(F.col("salt") < 16.0, "salt_bridge").when(F.col("near"), "covalent")
+        .when((F.col("sc") < 25.0) & F.col("greasy"), "hydrophobic").when((F.col("sc") < 25.0) & F.col("polar"), "polar").otherwise("proximity")
     )
     return e.select(*key, "i", "j", label.alias("label"))
 

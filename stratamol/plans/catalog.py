@@ -555,7 +555,7 @@ _GIVEN = "CASE WHEN " + _signed("1", el.CATIONIC) + " WHEN " + _signed("-1", ANI
  FROM e LEFT JOIN p ON e.structure_id = p.structure_id AND e.i = p.i AND e.j = p.j JOIN r u ON u.structure_id = e.structure_id AND u.residue_idx = e.i JOIN r v ON v.structure_id = e.structure_id AND v.residue_idx = e.j""")
 def residue_interactions(spark, sf):
     a = view(spark, sf, "atoms")
-    return graph.interactions(a, residues.contact_map(a))
+    return graph.interactions(a, residues.contact_map(a, carry=graph.ENDS))
 
 
 # coarse-graining, comparison, quality
