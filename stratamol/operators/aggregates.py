@@ -17,8 +17,9 @@ LARGEST_RADIUS = 1.76
 BOND_REACH = 1.2 * 2 * LARGEST_RADIUS
 
 
-def geometry(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """(key, n_atoms, total_mass, c*, com_*, rg, dim_*, volume, compactness, ixx ... iyz) in one aggregation.
+def geometry(atoms: DataFrame, key: list[str] = KEY, more: dict | None = None) -> DataFrame:
+    """(key, n_atoms, total_mass, c*, com_*, rg, dim_*, volume, compactness, ixx ... iyz) in one aggregation, which takes more
+    aggregates by name.
 
     Second moments about the centre of mass follow from raw sums, shifted by the first atom to keep precision."""
     w = W.partitionBy(*key)
@@ -27,7 +28,7 @@ def geometry(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
     sums = {f"s{x}": F.sum(F.col("m") * F.col(f"r{x}")) for x in "xyz"}
     sums |= {f"s{x}{y}": F.sum(F.col("m") * F.col(f"r{x}") * F.col(f"r{y}")) for x, y in ("xx", "yy", "zz", "xy", "xz", "yz")}
     means = {f"c{x}": F.avg(x) for x in "xyz"} | {f"dim_{x}": F.max(x) - F.min(x) for x in "xyz"} | {f"o{x}": F.first(f"o{x}") for x in "xyz"}
-    g = a.groupBy(*key).agg(F.count("*").alias("n_atoms"), F.sum("m").alias("total_mass"), *(v.alias(k) for k, v in {**sums, **means}.items()))
+    g = a.groupBy(*key).agg(F.count("*").alias("n_atoms"), F.sum("m").alias("total_mass"), *(v.alias(k) for k, v in {**sums, **means, **(more or {})}.items()))
     m = F.col("total_mass")
 
     def second(x, y):
@@ -38,13 +39,13 @@ def geometry(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
     return g.select(
         *key, "n_atoms", "total_mass", "cx", "cy", "cz", *((F.col(f"o{x}") + F.col(f"s{x}") / m).alias(f"com_{x}") for x in "xyz"),
         F.sqrt(F.greatest(F.lit(0.0), (xx + yy + zz) / m)).alias("rg"), "dim_x", "dim_y", "dim_z", volume.alias("volume"), F.when(volume > 0, F.col("n_atoms") / volume).otherwise(0.0).alias("compactness"),
-        (yy + zz).alias("ixx"), (xx + zz).alias("iyy"), (xx + yy).alias("izz"), (-xy).alias("ixy"), (-xz).alias("ixz"), (-yz).alias("iyz"),
+        (yy + zz).alias("ixx"), (xx + zz).alias("iyy"), (xx + yy).alias("izz"), (-xy).alias("ixy"), (-xz).alias("ixz"), (-yz).alias("iyz"), *(more or {}),
     )
 
 
-def shape_descriptors(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
+def shape_descriptors(atoms: DataFrame, key: list[str] = KEY, more: dict | None = None) -> DataFrame:
     """geometry() with principal moments, ascending, and the shape parameters made from them."""
-    g = geometry(atoms, key)
+    g = geometry(atoms, key, more)
     low, mid, high = symmetric_eigenvalues(*(F.col(c) for c in ("ixx", "iyy", "izz", "ixy", "ixz", "iyz")))
     g = g.withColumns({"m1": low, "m2": mid, "m3": high})
     m = [F.col(c) for c in ("m1", "m2", "m3")]
@@ -83,8 +84,12 @@ def formula(atoms: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 
 def element_counts(atoms: DataFrame, elements=DEFAULT_ELEMENTS, key: list[str] = KEY) -> DataFrame:
+    return atoms.groupBy(*key).agg(*(v.alias(k) for k, v in _element_sums(elements).items()))
+
+
+def _element_sums(elements) -> dict:
     e = F.upper("element")
-    return atoms.groupBy(*key).agg(*(F.sum((e == s).cast("long")).alias(f"count_{s}") for s in elements))
+    return {f"count_{s}": F.sum((e == s).cast("long")) for s in elements}
 
 
 def distance_histogram(atoms: DataFrame, bins: int = 10, low: float = 0.0, high: float = 20.0, key: list[str] = KEY) -> DataFrame:
@@ -132,8 +137,10 @@ def salt_bridges(atoms: DataFrame, cutoff: float = 4.0, key: list[str] = KEY) ->
 def descriptors(atoms: DataFrame, elements=DEFAULT_ELEMENTS, bins: int = 10, high: float = 20.0, contact_cutoff: float = 5.0, residue_cutoff: float = 8.0, key: list[str] = KEY) -> DataFrame:
     """One feature row for each structure; features without rows are 0.
 
-    All that comes from pairs of atoms is taken in one pass over them."""
-    out = shape_descriptors(atoms, key).join(element_counts(atoms, elements, key), key)
+    All that comes from pairs of atoms is taken in one pass over them, all that comes from single ones in another."""
+    counts = _element_sums(elements)
+    out = shape_descriptors(atoms, key, counts)
+    out = out.select(*(c for c in out.columns if c not in counts), *counts)
     out = out.join(_pair_features(atoms, bins, high, contact_cutoff, key), key, "left")
     rc = contact_counts(representatives(atoms, "ca", key), residue_cutoff, key)
     rc = rc.select(*key, F.col("n_atoms").alias("n_residues"), F.col("n_contacts").alias("residue_contacts"), F.col("density").alias("residue_contact_density"))
