@@ -131,6 +131,7 @@ def nearest(atoms: DataFrame, k: int, key: list[str] = KEY, cells: bool = True,
     if cells:
         w = W.partitionBy(*key)
         far = F.max(F.coalesce(F.abs("x") + F.abs("y") + F.abs("z"), F.lit(float("inf")))).over(w)  # nulls and infinities rank as Spark has them
+        atoms = atoms.dropna(subset=list(key))  # as joins on the key do, so that both parts share a shuffle
         sized = atoms.select(*key, "atom_idx", "x", "y", "z").withColumns({"__size": F.count("*").over(w), "__far": far})
         whole = (F.col("__size") <= PACKED) & (F.col("__far") < 1e150)
         packed = _packed_nearest(sized.where(whole).drop("__size", "__far"), k, key).select(*out)

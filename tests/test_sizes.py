@@ -43,6 +43,8 @@ def test_nearest(spark, monkeypatch, packed):
     for k in (1, 4):
         assert rows(spatial.nearest(a, k, distances=True)) == brute_nearest(pts, k)
     assert spatial.nearest(a.where("false"), 4).count() == 0
+    unnamed = a.unionByName(a.where("structure_id = 's0'").withColumn("structure_id", F.lit(None).cast("string")))
+    assert rows(spatial.nearest(unnamed, 4)) == rows(spatial.nearest(a, 4))
     gone = a.withColumn("x", F.when(F.col("atom_idx") != 2, F.col("x")))  # a place without a number
     got = rows(spatial.nearest(gone, 4))
     monkeypatch.setattr(spatial, "PACKED", 0)
