@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamol.llm import jaccard, mixing, packing, quality
-from stratamol.llm.common import mark, materialise, release
+from stratamol.llm.common import mark, materialise, release, row_named
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies: words of a shingle, least percentage of shared ones.
 NEAR = (5, 80)
+#: Bitmaps of kept rows, of 4 KB and up to 32,768 rows each, that are broadcast; beyond, texts are shuffled to meet them.
+BITMAPS = 16_384
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +31,19 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Near copies share 80 % of their five-word shingles (op7 keeps its own four words and 85 %). Groups are of rows: other
     texts under a removed row's id stay. Rows without words are in no group; equal ones of one id stay once. An empty table
     gives an empty result; further columns are dropped."""
-    rows = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = row_named(docs, COLUMNS)
     found = jaccard.jaccard_components(rows, *NEAR, id_col="row").select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
     named = rows.where("doc_id is not null").select("row", "doc_id", F.xxhash64("text").alias("h")).join(found, "row")
     alone = F.col("n_shingles") == 0
     group = [F.when(~alone, F.col("component_id")).alias("c"), F.when(alone, F.col("doc_id")).alias("i"), F.when(alone, F.col("h")).alias("t")]
-    kept = named.groupBy(*group).agg(F.min(F.struct("doc_id", "h", "row"))["row"].alias("row")).select("row", F.lit(True).alias("first"))
-    kept = materialise(kept, "kept")  # its size is known then: while it is small, texts aren't shuffled to meet it
-    return rows.join(kept, "row", "left").where("first or doc_id is null").select(*COLUMNS)
+    kept = named.groupBy(*group).agg(F.min(F.struct("doc_id", "h", "row"))["row"].alias("row"))
+    # a bit for each row: texts aren't shuffled to meet them
+    bucket, bit = F.bitmap_bucket_number("row").alias("bucket"), F.bitmap_bit_position("row").alias("bit")
+    bits = materialise(kept.select(bucket, bit).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "kept")
+    rows = rows.select("*", bucket, bit).join(F.broadcast(bits) if bits.count() <= BITMAPS else bits, "bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    first = F.expr("shiftleft(1, cast(bit % 8 as int))").bitwiseAND(byte) != 0
+    return rows.where(F.col("doc_id").isNull() | first).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +48,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_named(df: DataFrame, columns: tuple[str, ...], name: str = "row") -> DataFrame:
+    """The columns and a number for each row, the same whenever it is read.
+
+    Rows of a plain Parquet table are named by file and place there, without writing them again; others are written."""
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        try:
+            at = df.metadataColumn("_metadata")
+            places = df.select(*columns, at["file_path"].alias("__file"), at["row_index"].alias("__at"))
+        except AnalysisException:  # no files, or no Parquet
+            places = None
+        if places is not None:
+            files = places.groupBy("__file").agg(F.count("*").alias("n"), F.max("__at").alias("last")).collect()
+            if all(f["n"] == f["last"] + 1 for f in files):  # else a file is read twice
+                numbers = df.sparkSession.createDataFrame([(f["__file"], k << 40) for k, f in enumerate(sorted(files))], "__file string, __from long")
+                return places.join(F.broadcast(numbers), "__file").select(*columns, (F.col("__from") + F.col("__at")).alias(name))
+    return materialise(df.select(*columns).withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def mark() -> int:
     """How many tables materialise() has written and nothing has released: for release()."""
     return len(_MADE)

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from stratamol.llm import mixing
+from stratamol.llm import common, mixing
 from test_jaccard import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,3 +48,38 @@ def test_near_copies_by_row(spark):
     want = [(1, text(1)), (1, text(2)), (2, text(3)), (3, text(4)), (4, None), (5, " "), (None, text(3)), (None, text(5))]
     docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3)
     assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()) == Counter(want)
+
+
+def test_near_copies_without_moving_texts(spark, tmp_path, monkeypatch):
+    def text(g, changed=0):
+        return " ".join(f"new{g}x{i}" if i < changed else f"g{g}w{i}" for i in range(120))
+
+    rows = [(i // 2 if i % 5 else None, text(i % 40, i % 3), "en", "ab"[i % 2], 0) for i in range(300)] + [(7, None, "en", "a", 0)] * 2
+    own = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard_stage(spark, own, "").collect())
+    assert 0 < sum(want.values()) < len(rows)
+    own.write.parquet(str(tmp_path / "a b"))
+    docs, written = spark.read.parquet(str(tmp_path / "a b")), []
+    assert len(docs.inputFiles()) > 1
+    kept = common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: (written.append((name, df.columns)), kept(df, name))[1])
+    monkeypatch.setattr(corpus_pipeline, "materialise", common.materialise)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corpus_pipeline.jaccard_stage(spark, docs, "")
+        assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(corpus_pipeline, "BITMAPS", 0)
+        assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert written and not any("text" in columns for _, columns in written)
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_rows_of_a_file_read_twice(spark, tmp_path):
+    spark.createDataFrame([(1, "one", "en", "a", 0), (2, "two", "en", "a", 0)], SCHEMA).write.parquet(path := str(tmp_path / "twice"))
+    docs = spark.read.parquet(path, path)
+    n = docs.count()
+    got = common.row_named(docs, corpus_pipeline.COLUMNS)
+    assert len({r["row"] for r in got.collect()}) == got.count() == n
