@@ -59,10 +59,11 @@ def row_named(df: DataFrame, columns: tuple[str, ...], name: str = "row") -> Dat
         except AnalysisException:  # no files, or no Parquet
             places = None
         if places is not None:
-            files = places.groupBy("__file").agg(F.count("*").alias("n"), F.max("__at").alias("last")).collect()
-            if all(f["n"] == f["last"] + 1 for f in files):  # else a file is read twice
-                numbers = df.sparkSession.createDataFrame([(f["__file"], k << 40) for k, f in enumerate(sorted(files))], "__file string, __from long")
-                return places.join(F.broadcast(numbers), "__file").select(*columns, (F.col("__from") + F.col("__at")).alias(name))
+            files = places.groupBy("__file").agg(F.count("*").alias("n"), (F.max("__at") + 1).alias("end"))
+            # a row for each file, written once
+            files = materialise(files.withColumn("__from", F.shiftleft(F.row_number().over(W.orderBy("__file")).cast("long"), 40)), "files")
+            if not files.where("n <> end").limit(1).count():  # else a file is read twice
+                return places.join(F.broadcast(files.select("__file", "__from")), "__file").select(*columns, (F.col("__from") + F.col("__at")).alias(name))
     return materialise(df.select(*columns).withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
@@ -93,7 +94,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def text_slices(texts: pa.Array, most: int = 2 << 20):
+def text_slices(texts: pa.Array, most: int = (1 << 20) - 2):
     """Yields (first row, end row, bytes as uint8, offsets from 0) of at most `most` bytes, or of one longer text.
 
     Null texts count as empty. The bytes are a view of Arrow's buffer."""
