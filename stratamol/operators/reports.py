@@ -73,10 +73,10 @@ def compare_structures(a: DataFrame, b: DataFrame, cutoff: float = 8.0, key: lis
 
 
 def pocket_text(atoms: DataFrame, ligand: str | None = None, key: list[str] = KEY) -> DataFrame:
-    """(key, text): a plain paragraph on the pocket's residues and close contacts, in order of chain and number."""
-    p = residues.pocket(atoms, ligand, key=key)
+    """(key, text): a plain paragraph on the pocket's residues and close contacts, in order of chain, number and atoms."""
+    p = residues.pocket(atoms, ligand, key=key, first_atom=True)
     label = residue_label("chain", "resname", "resid", "icode")
-    place = [F.col("chain").alias("c"), F.col("resid").alias("r"), F.col("icode").alias("i")]
+    place = [F.col("chain").alias("c"), F.col("resid").alias("r"), F.col("icode").alias("i"), F.col("first_atom").alias("a")]
 
     def those(given, text):
         kept = F.collect_list(F.when(given, F.struct(*place, text.alias("t"))))

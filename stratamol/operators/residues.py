@@ -159,10 +159,11 @@ def site_atoms(atoms: DataFrame, site: DataFrame, key: list[str] = KEY) -> DataF
     return atoms.where(~F.col("hetero")).join(site.select(*key, *PARTS), [*key, *PARTS], "left_semi")
 
 
-def pocket(atoms: DataFrame, ligand: str | None = None, hbond: float = 3.5, salt: float = 4.0, hydrophobic: float = 4.5, aromatic: float = 5.5, key: list[str] = KEY) -> DataFrame:
+def pocket(atoms: DataFrame, ligand: str | None = None, hbond: float = 3.5, salt: float = 4.0, hydrophobic: float = 4.5, aromatic: float = 5.5, key: list[str] = KEY, first_atom: bool = False) -> DataFrame:
     """(key, residue..., hydrophobic, aromatic, polar_distance, salt_distance) by proximity, cutoffs inclusive.
 
-    A residue's closest polar pair is left out where it is the pair of its salt bridge."""
+    A residue's closest polar pair is left out where it is the pair of its salt bridge. first_atom: adds a column of that
+    name, the least index of its atoms in reach."""
     het = atoms.where("hetero")
     chosen = het.where(~F.upper("resname").isin(*WATER, *IONS)) if ligand is None else het.where(F.upper("resname") == ligand.upper())
     extra = [*PARTS, "element", "atom_name"]
@@ -178,9 +179,9 @@ def pocket(atoms: DataFrame, ligand: str | None = None, hbond: float = 3.5, salt
         "pol": F.when(polar & (F.col("d2") <= hbond**2), F.struct("d2", "i", "j")),
         "sal": F.when(opposite & (F.col("d2") <= salt**2), F.struct("d2", "i", "j")),
     })
-    g = p.groupBy(*key, *(F.col(f"i_{c}").alias(c) for c in PARTS)).agg(F.bool_or("hyd").alias("hydrophobic"), F.bool_or("aro").alias("aromatic"), F.min("pol").alias("pol"), F.min("sal").alias("sal"))
+    g = p.groupBy(*key, *(F.col(f"i_{c}").alias(c) for c in PARTS)).agg(F.bool_or("hyd").alias("hydrophobic"), F.bool_or("aro").alias("aromatic"), F.min("pol").alias("pol"), F.min("sal").alias("sal"), F.min("i").alias("first_atom"))
     alone = F.when(~(F.col("pol").eqNullSafe(F.col("sal"))), F.sqrt("pol.d2"))
-    return g.select(*key, *PARTS, "hydrophobic", "aromatic", alone.alias("polar_distance"), F.sqrt("sal.d2").alias("salt_distance"))
+    return g.select(*key, *PARTS, "hydrophobic", "aromatic", alone.alias("polar_distance"), F.sqrt("sal.d2").alias("salt_distance"), *["first_atom"] * first_atom)
 
 
 def pocket_features(site: DataFrame, key: list[str] = KEY) -> DataFrame:
